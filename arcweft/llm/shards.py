@@ -50,7 +50,7 @@ def assign(docs: DataFrame, shards: int = 16, ranges: int = 4096, seed: int = 7,
     lot = F.pmod(F.xxhash64("doc_id", "key", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = rows.withColumn("weight", F.floor(chance + lot).cast("long")).where("weight > 0")
     drawn = drawn.withColumn("_", F.explode(F.sequence(F.lit(1), F.least("weight", F.lit(ranges)).cast("int"))))
-    found = drawn.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q")).first()
+    found = drawn.agg(F.percentile_approx("key", F.split(F.lit(",".join(str(i / ranges) for i in range(1, ranges))), ",").cast("array<double>"), 20 * ranges).alias("q")).first()
     splitters = list(found.q or [0] * (ranges - 1))
     ranged = rows.withColumn("range", position(splitters, F.col("key")))
     full = ranged.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("r"))
