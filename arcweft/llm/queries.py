@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcweft.llm import chat, neardup, shards
+from arcweft.llm import chat, neardup, repeats, shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +17,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_minhash_near_dedup": lambda s, d: neardup.op5_minhash_near_dedup(table(s, d, "documents")),
         "op7_sharding": lambda s, d: shards.op7_sharding(table(s, d, "documents")),
+        "op9_substring_dedup": lambda s, d: repeats.op9_substring_dedup(table(s, d, "documents")),
         "op8_chat_formatting": lambda s, d: chat.op8_chat_formatting(s, table(s, d, "conversations")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": chat.OP8_SQL}
+    return {"op8_chat_formatting": chat.OP8_SQL, "op9_substring_dedup": repeats.OP9_SQL}
