@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcweft.llm import chat, neardup, repeats, shards, topk
+from arcweft.llm import chat, neardup, repeats, shards, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_top_k": lambda s, d: topk.op1_exact_top_k(table(s, d, "embeddings")),
+        "op4_warc": lambda s, d: warc.op4_warc(table(s, d, "pages")),
         "op5_minhash_near_dedup": lambda s, d: neardup.op5_minhash_near_dedup(table(s, d, "documents")),
         "op7_sharding": lambda s, d: shards.op7_sharding(table(s, d, "documents")),
         "op9_substring_dedup": lambda s, d: repeats.op9_substring_dedup(table(s, d, "documents")),
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": topk.OP1_SQL, "op8_chat_formatting": chat.OP8_SQL, "op9_substring_dedup": repeats.OP9_SQL}
+    return {"op1_exact_top_k": topk.OP1_SQL, "op4_warc": warc.OP4_SQL, "op8_chat_formatting": chat.OP8_SQL, "op9_substring_dedup": repeats.OP9_SQL}
