@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from arcweft.llm import chat, neardup, repeats, shards, topk, warc
 
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers on this machine find the package whatever folder the driver runs in; elsewhere it comes by --py-files
+    there = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in there.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, there]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
