@@ -5,7 +5,7 @@
 2. Inverted lists: each pair of values that stand side by side in a sketch is a key. Two sets of similarity 0.8 share such
    a pair for certain while their sketches hold the whole sets, and with probability over 1 - 1e-9 at k = 32 otherwise.
    Lists up to LIST documents give all their pairs of fitting sizes. Longer lists give star pairs to a few pivots; what
-   pivots leave apart is compared block by block against the rest of its list (`leftovers`), so nothing is lost.
+   pivots leave apart is compared block by block with the rest of its list (`leftovers`), so nothing is lost.
 3. The union of two sketches estimates the similarity; a loose bound drops chance pairs.
 4. The exact sets of what is left are intersected; links that could not change any component are skipped.
 5. Components over links, by stars.
@@ -30,7 +30,7 @@ from arcweft.shared import components, cut, lookup
 #: Retained values per document; the least share of the union sketch that must be common for an exact check.
 K, LEAST_SHARE = 32, 11.5 / 32
 #: Longest inverted list that gives all its pairs; pivots of a longer one; documents in a block of `leftovers`.
-LIST, PIVOTS, BLOCK = 32, 3, 64
+LIST, PIVOTS, BLOCK = 32, 3, 256
 #: Pairs of one document that a task of the exact check may hold.
 FAN = 256
 
@@ -168,38 +168,86 @@ def with_component(rows: DataFrame, on: str, comps: DataFrame, name: str) -> Dat
     return rows.join(comps, on, "left").withColumn(name, F.coalesce(name, on))
 
 
-def leftovers(hot: DataFrame, comps: DataFrame, percent: int, k: int) -> DataFrame:
-    """Rows (key, doc, n, sketch) of long lists to pairs in different components whose sketches are alike.
+def block_units(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (grp, doc, n, comp, ...) to small tasks: each pair of blocks of documents whose sizes can fit is a `unit`.
 
-    Within a list, documents whose sizes can fit are dealt to blocks; each pair of blocks is a small task of its own, and
-    only pairs that pass the estimate are emitted. Lists that are one component by now give nothing."""
-    rows = cut(with_component(hot, "doc", comps, "comp"), "open")
-    open_lists = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("key", "rows")
-    open_lists = cut(open_lists, "lists")
-    rows = lookup(rows, open_lists, ["key"], "rows", F.col("doc")).where("rows is not null").drop("rows")
+    A document of size level l meets those of levels l - 1 and l; groups or levels that are one component make no unit."""
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.000001)).cast("int")
     rows = rows.withColumn("level", F.explode(F.array(level, level + 1))).withColumn("own", F.col("level") == level)
     rows = cut(rows, "levels")
-    counts = cut(rows.groupBy("key", "level").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi"), "counts")
-    rows = lookup(rows, counts.drop("lo", "hi"), ["key", "level"], "rows", F.col("doc")).where("m is not null")
+    counts = rows.groupBy("grp", "level").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    counts = cut(counts.where("lo < hi").drop("lo", "hi"), "counts")
+    rows = lookup(rows, counts, ["grp", "level"], "rows", F.col("doc")).where("m is not null")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rows = rows.select(F.xxhash64("key", "level", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "doc", "n", "comp", "own", (F.col("block") <= F.col("other")).alias("first"), (F.col("block") >= F.col("other")).alias("second"), "sketch")
-
-    def run(keys: tuple, frame: pa.Table) -> pa.Table:
-        doc, n, comp, own = (frame.column(c).to_numpy() for c in ("doc", "n", "comp", "own"))
-        left, right = frame.column("first").to_numpy(), frame.column("second").to_numpy()
-        sketch = [np.asarray(x, np.int64) for x in frame.column("sketch").to_pylist()]
-        pairs = set()
-        for i in np.flatnonzero(left):
-            js = np.flatnonzero(right & (comp != comp[i]) & fits(n, n[i], percent) & (own | own[i]) & (doc != doc[i]))
-            for j in js:
-                union = np.union1d(sketch[i], sketch[j])[:k]
-                if np.isin(union, np.intersect1d(sketch[i], sketch[j])).sum() >= LEAST_SHARE * len(union):
-                    pairs.add((min(doc[i], doc[j]), max(doc[i], doc[j])))
-        out = sorted(pairs)
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    return rows.groupBy("unit").applyInArrow(run, "a long, b long").distinct()
+    rows = rows.withColumn("first", F.col("block") <= F.col("other")).withColumn("second", F.col("block") >= F.col("other"))
+    rows = rows.withColumn("unit", F.xxhash64("grp", "level", F.least("block", "other"), F.greatest("block", "other")))
+    return rows.drop("level", "rows", "m", "block", "other")
+
+
+def common_values(values: pa.ListArray, docs: int) -> np.ndarray:
+    """How many values each two of the lists have in common."""
+    flat = np.asarray(values.flatten(), np.int64)
+    doc = np.repeat(np.arange(docs), np.diff(np.asarray(values.offsets)))
+    _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    code, doc = (np.cumsum(shared) - 1)[code[shared[code]]], doc[shared[code]]
+    out, width = np.zeros((docs, docs), np.float32), 4096
+    order = np.argsort(code, kind="stable")
+    code, doc = code[order], doc[order]
+    for lo in range(0, int(shared.sum()), width):
+        at = slice(*np.searchsorted(code, [lo, lo + width]))
+        m = np.zeros((docs, width), np.float32)
+        m[doc[at], code[at] - lo] = 1
+        out += m @ m.T
+    return out
+
+
+def open_pairs(frame: pa.Table, percent: int) -> tuple[np.ndarray, ...]:
+    """doc, n and which two rows of a unit are still to be compared."""
+    doc, n, comp, own, first, second = (frame.column(c).to_numpy() for c in ("doc", "n", "comp", "own", "first", "second"))
+    ask = first[:, None] & second[None, :] & (comp[:, None] != comp[None, :]) & (own[:, None] | own[None, :]) & (doc[:, None] != doc[None, :])
+    return doc, n, comp, ask & fits(n[:, None], n[None, :], percent)
+
+
+def leftovers(groups: DataFrame, classes: DataFrame, comps: DataFrame, exact_sets, percent: int, k: int) -> DataFrame | None:
+    """Links (a, b) within groups (grp, doc, n) between documents that are still in different components.
+
+    First sketches tell which documents have any partner at all; only their sets are compared, exactly, unit by unit, and
+    a unit reports no more links than join its components."""
+    rows = with_component(groups, "doc", comps, "comp")
+    apart = cut(rows.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("grp", "rows"), "apart")
+    rows = lookup(rows, apart, ["grp"], "rows", F.col("doc")).where("rows is not null").drop("rows")
+    rows = cut(rows.join(classes.select(F.col("rep").alias("doc"), "sketch"), "doc"), "open")
+    if rows.isEmpty():
+        return None
+
+    def hopeful(keys: tuple, frame: pa.Table) -> pa.Table:
+        doc, n, _, ask = open_pairs(frame, percent)
+        if ask.any():
+            both = common_values(frame.column("sketch").combine_chunks(), len(doc))
+            held = np.minimum(n, k)
+            ask &= both >= LEAST_SHARE * np.minimum(k, held[:, None] + held[None, :] - both)
+        return pa.table({"doc": pa.array(np.unique(doc[ask.any(0) | ask.any(1)]), pa.int64())})
+
+    some = cut(block_units(rows, percent).groupBy("unit").applyInArrow(hopeful, "doc long").distinct(), "hopeful")
+    sets = exact_sets(some.select(F.col("doc").alias("id")))
+    rows = rows.drop("sketch").join(sets.select(F.col("doc_id").alias("doc"), "shingles"), "doc")
+
+    def linked(keys: tuple, frame: pa.Table) -> pa.Table:
+        doc, n, comp, ask = open_pairs(frame, percent)
+        a, b = [], []
+        if ask.any():
+            both = common_values(frame.column("shingles").combine_chunks(), len(doc)).astype(np.int64)
+            root = {c: c for c in comp.tolist()}
+            for i, j in np.argwhere(ask & (100 * both >= percent * (n[:, None] + n[None, :] - both))).tolist():
+                x, y = root[comp[i]], root[comp[j]]
+                if x != y:
+                    root = {c: x if r == y else r for c, r in root.items()}
+                    a.append(min(doc[i], doc[j]))
+                    b.append(max(doc[i], doc[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cut(block_units(rows, percent).groupBy("unit").applyInArrow(linked, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,9 +261,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     found = cut(lists.mapInArrow(scan_lists(LIST, percent), "key long, a long, b long, hot boolean"), "lists")
     pairs = found.where("not hot").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     hot = found.where("hot").select("key", F.col("a").alias("doc"), F.col("b").alias("n"))
-    pivots = hot.groupBy("key").agg(F.min("doc").alias("p0"), *(F.min_by("doc", F.xxhash64("doc", "key", F.lit(i))).alias(f"p{i}") for i in range(1, PIVOTS)), F.count("*").alias("rows"))
-    pivots = cut(pivots.select("key", "rows", F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("pivots")), "pivots")
-    stars = lookup(hot, pivots, ["key"], "rows", F.col("doc")).select("doc", F.explode("pivots").alias("p")).where("doc <> p").select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b"))
+    # long lists with one smallest document are one group: the lists of a family of copies fall together
+    heads = cut(hot.groupBy("key").agg(F.min("doc").alias("grp"), F.count("*").alias("rows")), "heads")
+    groups = cut(lookup(hot, heads, ["key"], "rows", F.col("doc")).select("grp", "doc", "n").distinct(), "groups")
+    pivots = groups.groupBy("grp").agg(*(F.min_by("doc", F.xxhash64("doc", F.lit(i))).alias(f"p{i}") for i in range(1, PIVOTS)), F.count("*").alias("rows"))
+    pivots = cut(pivots.select("grp", "rows", F.array_distinct(F.array("grp", *(f"p{i}" for i in range(1, PIVOTS)))).alias("pivots")), "pivots")
+    stars = lookup(groups, pivots, ["grp"], "rows", F.col("doc")).select("doc", F.explode("pivots").alias("p")).where("doc <> p").select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b"))
     candidates = cut(estimated(pairs.unionAll(stars).groupBy("a", "b").agg(F.count("*").alias("shared")).select("a", "b"), classes, k), "candidates")
 
     def exact_sets(ids: DataFrame) -> DataFrame:
@@ -233,11 +284,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     rest = with_component(with_component(candidates.join(forest, ["a", "b"], "left_anti"), "a", comps, "ca"), "b", comps, "cb").where("ca <> cb").select("a", "b")
     links = cut(links.unionAll(confirmed(cut(rest, "rest"), sets, percent)), "links")
     comps = cut(components(links), "comps")
-    sketched = hot.join(classes.select(F.col("rep").alias("doc"), "sketch"), "doc")
-    more = cut(leftovers(sketched, comps, percent, k).join(candidates, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = links.unionAll(confirmed(more, exact_sets(ends(more)), percent))
-        comps = cut(components(links), "comps")
+    more = leftovers(groups, classes, comps, exact_sets, percent, k)
+    if more is not None and not more.isEmpty():
+        comps = cut(components(links.unionAll(more)), "comps")
     reps = with_component(classes.select("fp1", "fp2", "n", "rep", "copies"), "rep", comps, "component_id")
     reps = cut(reps.select("fp1", "fp2", "n", "copies", "component_id"), "reps")
     out = lookup(every.drop("sketch"), reps, ["fp1", "fp2", "n"], "copies", F.col("doc_id"))
