@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcweft.llm import chat, neardup, pii, quality, repeats, shards, topk, warc
+from arcweft.llm import chat, decontam, neardup, pii, quality, repeats, shards, topk, warc
 
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -25,6 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_top_k": lambda s, d: topk.op1_exact_top_k(table(s, d, "embeddings")),
+        "op2_benchmark_decontamination": lambda s, d: decontam.op2_benchmark_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
         "op3_quality_classifier": lambda s, d: quality.op3_quality_classifier(table(s, d, "documents"), table(s, d, "labels")),
         "op4_warc": lambda s, d: warc.op4_warc(table(s, d, "pages")),
         "op5_minhash_near_dedup": lambda s, d: neardup.op5_minhash_near_dedup(table(s, d, "documents")),
