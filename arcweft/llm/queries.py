@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcweft.llm import chat, decontam, neardup, pii, quality, repeats, shards, topk, warc
+from arcweft.llm import chat, decontam, neardup, pieces, pii, quality, repeats, shards, topk, warc
 
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": lambda s, d: warc.op4_warc(table(s, d, "pages")),
         "op5_minhash_near_dedup": lambda s, d: neardup.op5_minhash_near_dedup(table(s, d, "documents")),
         "op10_pii": lambda s, d: pii.op10_pii(table(s, d, "documents")),
+        "op6_sentencepiece": lambda s, d: pieces.op6_sentencepiece(table(s, d, "documents")),
         "op7_sharding": lambda s, d: shards.op7_sharding(table(s, d, "documents")),
         "op9_substring_dedup": lambda s, d: repeats.op9_substring_dedup(table(s, d, "documents")),
         "op8_chat_formatting": lambda s, d: chat.op8_chat_formatting(s, table(s, d, "conversations")),
