@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweft.llm.words import Prefix, Words, mix, signed, slices
-from arcweft.shared import components, cut, lookup
+from arcweft.shared import components, cut, lookup, narrowed
 
 #: Retained values per document; the least share of the union sketch that must be common for an exact check.
 K, LEAST_SHARE = 32, 11.5 / 32
 #: Longest inverted list that gives all its pairs; pivots of a longer one; documents in a block of `leftovers`.
 LIST, PIVOTS, BLOCK = 32, 3, 256
+#: Lists that a pair of no long list must share. Under WHOLE shingles (sketches may hold whole sets) one is enough; above, two sets
+#: of similarity 0.8 share fewer than SHARED with a probability of 2e-7 at k = 32.
+WHOLE, SHARED = 40, 3
 #: Pairs of one document that a task of the exact check may hold.
 FAN = 256
 
@@ -99,10 +102,11 @@ def fits(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def scan_lists(longest: int, percent: int):
-    """Rows (key, n, doc), sorted, to pairs of short lists (hot false) and the rows of long ones (hot true)."""
+    """Rows (key, n, doc), sorted, to pairs of short lists (hot false; key: how many lists the pair must share) and the rows
+    of long ones (hot true; b: the size)."""
 
     def emit(key: np.ndarray, n: np.ndarray, doc: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
-        pairs = [[], []]
+        pairs = [[], [], []]
         at = np.flatnonzero(~hot)
         k, m, d = key[at], n[at], doc[at]
         for shift in range(1, longest):
@@ -112,11 +116,12 @@ def scan_lists(longest: int, percent: int):
             near = same & fits(m[shift:], m[:-shift], percent)
             pairs[0].append(d[:-shift][near])
             pairs[1].append(d[shift:][near])
+            pairs[2].append(np.where(np.minimum(m[shift:], m[:-shift])[near] <= WHOLE, 1, SHARED))
+        c = np.concatenate([*pairs[2], key[hot]]).astype(np.int64)
         a = np.concatenate([*pairs[0], doc[hot]])
         b = np.concatenate([*pairs[1], n[hot]])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[np.zeros(len(a) - hot.sum(), np.int64), key[hot]]), pa.array(a), pa.array(b), pa.array(np.r_[np.zeros(len(a) - hot.sum(), bool), np.ones(hot.sum(), bool)])], names=["key", "a", "b", "hot"]
-        )
+        is_hot = np.arange(len(a)) >= len(a) - hot.sum()
+        return pa.RecordBatch.from_arrays([pa.array(c), pa.array(a), pa.array(b), pa.array(is_hot)], names=["key", "a", "b", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
@@ -259,19 +264,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     keys = classes.where("n > 1").select("rep", "n", F.explode(side_by_side).alias("key"))
     lists = keys.select("key", "n", F.col("rep").alias("doc")).repartition("key").sortWithinPartitions("key", "n", "doc")
     found = cut(lists.mapInArrow(scan_lists(LIST, percent), "key long, a long, b long, hot boolean"), "lists")
-    pairs = found.where("not hot").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = found.where("not hot").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("key").alias("need"))
     hot = found.where("hot").select("key", F.col("a").alias("doc"), F.col("b").alias("n"))
     # long lists with one smallest document are one group: the lists of a family of copies fall together
     heads = cut(hot.groupBy("key").agg(F.min("doc").alias("grp"), F.count("*").alias("rows")), "heads")
     groups = cut(lookup(hot, heads, ["key"], "rows", F.col("doc")).select("grp", "doc", "n").distinct(), "groups")
     pivots = groups.groupBy("grp").agg(*(F.min_by("doc", F.xxhash64("doc", F.lit(i))).alias(f"p{i}") for i in range(1, PIVOTS)), F.count("*").alias("rows"))
     pivots = cut(pivots.select("grp", "rows", F.array_distinct(F.array("grp", *(f"p{i}" for i in range(1, PIVOTS)))).alias("pivots")), "pivots")
-    stars = lookup(groups, pivots, ["grp"], "rows", F.col("doc")).select("doc", F.explode("pivots").alias("p")).where("doc <> p").select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b"))
-    candidates = cut(estimated(pairs.unionAll(stars).groupBy("a", "b").agg(F.count("*").alias("shared")).select("a", "b"), classes, k), "candidates")
+    stars = lookup(groups, pivots, ["grp"], "rows", F.col("doc")).select("doc", F.explode("pivots").alias("p")).where("doc <> p").select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b"), F.lit(1).cast("long").alias("need"))
+    overlaps = pairs.unionAll(stars).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need")
+    candidates = cut(estimated(overlaps.select("a", "b"), classes, k), "candidates")
 
     def exact_sets(ids: DataFrame) -> DataFrame:
         needed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        return cut(full_sets(needed.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "sets")
+        ids = cut(ids.select(F.col("id").alias("doc_id")).distinct(), "ids")
+        return cut(full_sets(narrowed(needed, ids, "doc_id").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "sets")
 
     def ends(p: DataFrame) -> DataFrame:
         return p.select(F.col("a").alias("id")).unionAll(p.select(F.col("b").alias("id")))
