@@ -227,6 +227,17 @@ def decode_ids(model: Model, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.nd
     return data[keep], ends - np.searchsorted(lead, ends)
 
 
+def equal_texts(texts: Texts, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which texts equal the decoded ones."""
+    same = np.diff(ends) == np.diff(texts.offsets)
+    if same.all():
+        differ = np.concatenate([[0], np.cumsum(data != texts.data)])
+        return np.diff(differ[ends]) == 0
+    for i in np.flatnonzero(same):
+        same[i] = np.array_equal(data[ends[i] : ends[i + 1]], texts.data[texts.offsets[i] : texts.offsets[i + 1]])
+    return same
+
+
 def model_bytes(path: str) -> bytes:
     with open(path, "rb") as f:
         raw = f.read(MODEL_BYTES + 1)
@@ -235,12 +246,13 @@ def model_bytes(path: str) -> bytes:
     return raw
 
 
-def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model_path: str = MODEL) -> DataFrame:
-    """All columns of df and the ids (array<int>) of the text."""
+def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model_path: str = MODEL, check_col: str | None = None) -> DataFrame:
+    """All columns of df and the ids (array<int>) of the text; in check_col whether decoding them gives the text back, found
+    in the same pass (a second one would need a second Python worker per task)."""
     raw = model_bytes(model_path)
-    df = df.drop(ids_col)
+    df = df.drop(ids_col, *([check_col] if check_col else []))
     at = df.columns.index(text_col)
-    schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(check_col, T.BooleanType())] if check_col else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(raw)
@@ -253,7 +265,8 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model_pa
                 if mask.true_count:
                     lists = pa.compute.if_else(mask, pa.scalar(None, lists.type), lists)
                 part = batch.slice(texts.first, texts.n)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, ids_col])
+                more = [pa.array(equal_texts(texts, *decode_ids(model, ids, bounds)))] if check_col else []
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *more], names=[*part.schema.names, ids_col, *([check_col] if check_col else [])])
 
     return df.mapInArrow(run, schema)
 
@@ -288,5 +301,5 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", model
 
 def op6_sentencepiece(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_xxhash64, decoded_equal: of each text the number and a hash of its ids, and the round trip."""
-    out = decode(encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))))
-    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), F.col("decoded").eqNullSafe(F.col("text")).alias("decoded_equal"))
+    out = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), check_col="decoded_equal")
+    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), "decoded_equal")
