@@ -1,0 +1 @@
+"""Graphs from files and tables, and files from graphs."""

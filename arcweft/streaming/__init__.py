@@ -1,0 +1 @@
+"""No streaming operators: graph and corpus operators here work on tables as a whole."""
