@@ -3,14 +3,13 @@
 import random
 import re
 
+import corpus_pipeline
 import pytest
 import sentencepiece
+import test_neardup
 
 from arcweft.llm import pieces, quality
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-test_neardup = pytest.importorskip("test_neardup")
-
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
