@@ -30,6 +30,8 @@ from arcweft.shared import cut
 BLOCK, QUERIES, FOCUS, STEEP = 8192, 512, 3, 0.6
 #: Most rows of the sample that sets the buckets' bounds, and most buckets.
 SAMPLE, BUCKETS = 100_000, 4096
+#: Tasks that pair vector blocks with query blocks.
+LINKS = 64
 
 
 def vectors(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -157,8 +159,9 @@ def top_k(df: DataFrame, queries: DataFrame, k: int, scale: int = 64, id_col: st
     shapes = blocks.groupBy("bucket", "part").agg(F.max("norm2").alias("longest"))
     needs = asked.withColumn("size", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c)))
     needs = needs.groupBy("group").agg(F.min(F.when(F.col("size") > 0, F.col("bound") / F.col("size")).otherwise(F.lit(float("-inf")))).alias("least"))
-    needs = needs.withColumn("link", F.lit(1))
-    work = shapes.withColumn("link", F.lit(1)).join(needs, "link").where("least <= 0 or sqrt(longest) * (1 + 1e-9) >= least").select("bucket", "part", "group")
+    # vector blocks are dealt to LINKS tasks, each of which sees the bounds of all query blocks
+    needs = needs.withColumn("link", F.explode(F.sequence(F.lit(0), F.lit(LINKS - 1))))
+    work = shapes.withColumn("link", F.pmod(F.xxhash64("bucket", "part"), F.lit(LINKS)).cast("int")).join(needs, "link").where("least <= 0 or sqrt(longest) * (1 + 1e-9) >= least").select("bucket", "part", "group")
     work = cut(work, "work")
     left = asked.join(work, "group").select("group", "bucket", "part", "vec_id", "v", "bound")
     right = blocks.join(work, ["bucket", "part"]).select("group", "bucket", "part", "vec_id", "v")
