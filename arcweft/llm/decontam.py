@@ -34,8 +34,8 @@ from arcweft.shared import cut
 MIN_WORDS, EDITS = 5, 0.2
 WALKS, SAMPLES, BITS = 6, 12, 3
 BLOCK_BYTES = 4 << 20
-#: Windows worked on at a time.
-CHUNK = 1 << 15
+#: Bytes of text and windows worked on at a time.
+SLICE, CHUNK = 1 << 20, 1 << 13
 
 #: All ASCII characters other than letters and digits part words.
 _GAPS = np.zeros(256, bool)
@@ -249,7 +249,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             m = np.diff(items.first)
             for batch in batches:
-                for part in slices(batch.column(1)):
+                for part in slices(batch.column(1), SLICE):
                     doc, i, s, distance = leaks_of(part, items)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(part.first, part.n).take(pa.array(doc)), pa.array(items.ids[i].tolist(), pa.int64()), pa.array(s, pa.int32()), pa.array(distance, pa.int32()), pa.array(m[i], pa.int32())],
@@ -276,7 +276,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         def run(batches: Iterator[pa.RecordBatch], items: Items = items, at: int = at) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for part in slices(batch.column(at)):
+                for part in slices(batch.column(at), SLICE):
                     keep[part.first + leaks_of(part, items)[0]] = False
                 yield batch.filter(pa.array(keep))
 
