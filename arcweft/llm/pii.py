@@ -14,7 +14,7 @@ Equal values get equal pseudonyms in all documents, however they are spaced, sin
 without the separators. Text around matches is unchanged. With the key the permutation can be undone (`inverse`).
 
 Nulls stay null, empty texts stay empty, a row with no match is returned as it is. Repeated rows get equal results; extra columns
-pass through. Long texts are worked on whole; a match is at most 128 characters, so nothing in a row grows past its text.
+pass through. Long texts are worked on whole, and so are long matches: the work on one grows in proportion to its length.
 """
 
 from __future__ import annotations
@@ -28,8 +28,12 @@ KEY = "arcweft"
 #: Days since 1800-01-01 that dates are permuted among: DAYS_A * DAYS_B.
 DAYS_A, DAYS_B, FIRST_DAY = 400, 365, "1800-01-01"
 
-#: Candidates, most specific first.
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,62}@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,60}[A-Za-z0-9])?\.[A-Za-z]{2,10}"
+#: Matches over so many characters are permuted by pads of a digest of the other half, so that the work stays in proportion.
+LONG = 128
+
+#: Candidates, most specific first. A mail address begins where its run of characters does or where the last match ended: one
+#: start per run. Marks in front of its first letter or digit may be a bullet and stay as they are.
+MAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,10}"
 SECRET = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])"
 NAMED = r"(?<=[\"'])(?<=(?i:token|key|secret|password) ?[=:] ?[\"'])[A-Za-z0-9+/_=-]{8,128}(?=[\"'])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![0-9A-Za-z])"
@@ -73,6 +77,11 @@ def permute_pair(a: Column, b: Column, size_a: int, size_b: int, key: str, kind:
     return out["a"], out["b"]
 
 
+def let(value: Column, work) -> Column:
+    """work(value), the value computed once wherever work uses it."""
+    return F.transform(F.array(value), work)[0]
+
+
 def permute_chars(text: Column, key: str, kind: str, inverse: bool = False) -> Column:
     """A permutation of strings of one shape: digits, capitals and small letters each stay what they are, others stay.
 
@@ -80,14 +89,14 @@ def permute_chars(text: Column, key: str, kind: str, inverse: bool = False) -> C
     chars = F.transform(F.split(text, ""), F.ascii)
     low = lambda c: F.when((c >= 48) & (c <= 57), 48).when((c >= 65) & (c <= 90), 65).when((c >= 97) & (c <= 122), 97)
     span = lambda c: F.when((c >= 48) & (c <= 57), 10).otherwise(26)
-    # a hex secret stays hex
-    hexed = text.rlike("^[0-9a-fA-F]{32,}$")
     half = F.floor((F.char_length(text) + 1) / 2).cast("int")
     sign = -1 if inverse else 1
 
-    def moved(part: Column, other: Column, i: Column) -> Column:
-        seed = F.concat_ws(",", other)
-        pads = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(part) + 7) / 8).cast("int")), lambda j: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda x: F.substr(pad(key, kind, i, j, F.size(part), seed), x * 8 + 1, F.lit(8)))))
+    def moved(part: Column, other: Column, i: Column, hexed: Column) -> Column:
+        joined = F.concat_ws(",", other)
+        seed = F.when(F.size(part) + F.size(other) > LONG, F.sha2(joined, 256)).otherwise(joined)
+        eight = lambda p: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda x: F.substr(p, x * 8 + 1, F.lit(8)))
+        pads = let(seed, lambda s: F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(part) + 7) / 8).cast("int")), lambda j: let(pad(key, kind, i, j, F.size(part), s), eight))))
 
         def shift(c: Column, p: Column) -> Column:
             width = F.when(hexed & (c >= 65) & (c <= 102) & (c != 96), F.lit(6)).otherwise(span(c))
@@ -96,15 +105,18 @@ def permute_chars(text: Column, key: str, kind: str, inverse: bool = False) -> C
 
         return F.zip_with(part, F.slice(pads, 1, F.size(part)), shift)
 
-    state = F.struct(F.slice(chars, F.lit(1), half).alias("a"), F.slice(chars, half + 1, F.char_length(text)).alias("b"))
+    # a hex secret stays hex
+    hexed = text.rlike("^[0-9a-fA-F]{32,}$").alias("hexed")
+    state = F.struct(F.slice(chars, F.lit(1), half).alias("a"), F.slice(chars, half + 1, F.char_length(text)).alias("b"), hexed)
 
     def step(s: Column, i: Column) -> Column:
         even = F.pmod(i, F.lit(2)) == 0
-        return F.struct(F.when(even, moved(s["a"], s["b"], i)).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(moved(s["b"], s["a"], i)).alias("b"))
+        a, b, hexed = s["a"], s["b"], s["hexed"]
+        return F.struct(F.when(even, moved(a, b, i, hexed)).otherwise(a).alias("a"), F.when(even, b).otherwise(moved(b, a, i, hexed)).alias("b"), hexed.alias("hexed"))
 
     rounds = list(range(ROUNDS))
-    out = F.aggregate(F.array(*map(F.lit, rounds[::-1] if inverse else rounds)), state, step)
-    return F.array_join(F.transform(F.concat(out["a"], out["b"]), lambda c: F.chr(c)), "")
+    out = F.aggregate(F.array(*map(F.lit, rounds[::-1] if inverse else rounds)), state, step, lambda s: F.concat(s["a"], s["b"]))
+    return F.array_join(F.transform(out, lambda c: F.chr(c)), "")
 
 
 def digits_of(c: Column) -> Column:
@@ -177,8 +189,9 @@ def iban(m: Column, key: str, inverse: bool) -> Column:
 
 
 def mail(m: Column, key: str, inverse: bool) -> Column:
-    local = F.substring_index(m, "@", 1)
-    return F.concat(permute_chars(local, key, "mail", inverse), F.substr(m, F.char_length(local) + 1, F.char_length(m)))
+    marks = F.regexp_extract(m, "^[._%+-]*", 0)
+    local = F.substr(F.substring_index(m, "@", 1), F.char_length(marks) + 1, F.char_length(m))
+    return F.concat(marks, permute_chars(local, key, "mail", inverse), F.substr(m, F.char_length(marks) + F.char_length(local) + 1, F.char_length(m)))
 
 
 def pseudonym(m: Column, key: str = KEY, inverse: bool = False) -> Column:

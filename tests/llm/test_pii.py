@@ -52,6 +52,21 @@ def test_spacing_does_not_matter(spark):
     assert len({re.sub("[ -]", "", r.text) for r in pii.pseudonymized(docs).collect()}) == 1
 
 
+def test_mail_after_marks_and_of_any_length(spark):
+    known = "john.doe@example.org"
+    values = [known, "-" + known, "_ana@example.org", "--kim@x.org", "...mail@x.com", "%a+b@x.com", "b4" * 40 + "@x.org", "ab.c" * 20_000 + "@x.org", "ann@" + "d" * 90 + ".org", "4111 1111 1111 1111bob@x.org", "ann@x.com_bob@y.org"]
+    docs = spark.createDataFrame(list(enumerate(f"to {v}, now" for v in values)), "doc_id long, text string")
+    rows = pii.op10_pii(docs).orderBy("doc_id").collect()
+    out = [r.text[3:-5] for r in rows]
+    assert [r.n_found for r in rows] == [1] * 9 + [2, 2]
+    for v, w in zip(values, out):
+        a, b = (re.findall("[^@]+(?=@)", x) for x in (v, w))
+        assert len(v) == len(w) and all(x != y for x, y in zip(a, b)) and v.split("@", 1)[1][:5] == w.split("@", 1)[1][:5]
+    assert out[1] == "-" + out[0] and out[10].split("_")[1].split("@")[0] != "bob"
+    assert sum(x != y for x, y in zip(values[7], out[7])) > 50_000
+    assert [r.text[3:-5] for r in pii.pseudonymized(spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string"), inverse=True).orderBy("doc_id").collect()] == values
+
+
 def test_clean_texts_and_edge_cases(spark):
     clean = ["", None, "no data here", "version 3.14.15 of 2020", "1.2.3", "Apache License, Version 2.0.", "12 items, 2,000 words", "é" * 1000, "a@b", "key", "x" * 300_000 + " 10 "]
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(clean)] + [(None, "8.8.8.8", "k"), (None, "8.8.8.8", "k")], "doc_id long, text string, key string")
