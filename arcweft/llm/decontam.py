@@ -5,10 +5,9 @@ with a window of m words at most floor(0.2 * m) word edits away. For every block
 
 1. Only windows that can qualify are formed: an item cut into one more piece than edits allowed keeps some piece whole
    (pigeonhole), so windows are laid around every occurrence of a piece, shifted by up to the edits allowed. No loss.
-2. CGK: a random walk embeds windows and items; edit distance becomes Hamming distance. WALKS walks, SAMPLES samples of BITS
-   positions each: a window is a candidate for an item if any sample agrees. Over 0.99 of pairs at the allowed distance pass
-   a single window, more over all shifts.
-3. Candidates are verified by exact banded edit distance.
+2. An edit changes at most two word pairs, so a window of m words within k edits holds at least m - 1 - 2k pairs of the item;
+   windows with fewer are dropped. No loss, at any length.
+3. All others are verified by exact banded edit distance, so every leak is found, at its closest window.
 
 Items are sent to the tasks in blocks of at most BLOCK_BYTES of text, each block one pass; so the broadcast is bounded
 whatever the benchmark's size. No shuffle of texts.
@@ -32,10 +31,9 @@ from arcweft.llm.words import Prefix, Texts, Words, mix, slices
 from arcweft.shared import cut
 
 MIN_WORDS, EDITS = 5, 0.2
-WALKS, SAMPLES, BITS = 6, 12, 3
 BLOCK_BYTES = 4 << 20
-#: Bytes of text and windows worked on at a time.
-SLICE, CHUNK = 1 << 20, 1 << 13
+#: Bytes of text, words of spans of windows, and cells of the bands of windows worked on at a time.
+SLICE, SPAN, CELLS = 1 << 20, 1 << 19, 1 << 18
 
 #: All ASCII characters other than letters and digits part words.
 _GAPS = np.zeros(256, bool)
@@ -63,39 +61,16 @@ class Items:
     words: np.ndarray
     first: np.ndarray
     pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # hashes, items, offsets
-    samples: np.ndarray  # [item, walk * sample]
+    pairs: np.ndarray  # hashes of (item, word pair), sorted
 
 
 def allowed(m: np.ndarray) -> np.ndarray:
     return np.floor(EDITS * m + 1e-9).astype(np.int64)
 
 
-def walk(symbols: np.ndarray, base: np.ndarray, m: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embeddings of the runs symbols[base : base + m], each 3 * m long, as [3 * max m, runs]; past the end: 0."""
-    steps = 3 * int(m.max(initial=0))
-    out = np.zeros((steps, len(base)), np.uint64)
-    at = np.zeros(len(base), np.int64)
-    for j in range(steps):
-        inside = at < m
-        symbol = np.where(inside, symbols[np.minimum(base + at, len(symbols) - 1)], np.uint64(0))
-        out[j] = symbol
-        at += ((mix(symbol, seed * 100_003 + j) >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
-    return out
-
-
-def sample_keys(symbols: np.ndarray, base: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """[run, walk * sample]: a hash of the sampled positions; positions depend on m alone."""
-    keys = np.zeros((len(base), WALKS * SAMPLES), np.uint64)
-    for w in range(WALKS):
-        embedded = walk(symbols, base, m, w + 1)
-        for s in range(SAMPLES):
-            key = np.zeros(len(base), np.uint64)
-            for b in range(BITS):
-                # within the first two thirds of the walk, where most runs still are
-                position = mix(m.astype(np.uint64), 7919 * (w * SAMPLES + s) + b) % (2 * m).astype(np.uint64)
-                key = mix(key ^ embedded[position.astype(np.int64), np.arange(len(base))], b)
-            keys[:, w * SAMPLES + s] = key
-    return keys
+def pair_keys(item: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of an item and two neighbouring words."""
+    return mix(mix(mix(item.astype(np.uint64)) ^ left, 1) ^ right, 2)
 
 
 def prepare(ids: list, texts: list[str]) -> Items:
@@ -118,17 +93,22 @@ def prepare(ids: list, texts: list[str]) -> Items:
         h = p.of(start, start + length)
         order = np.argsort(h, kind="stable")
         pieces[length] = (h[order], item[order], offset[order])
-    samples = np.zeros((len(m), WALKS * SAMPLES), np.uint64)
-    if len(use):
-        samples[use] = sample_keys(symbols, first[use], m[use])
-    return Items(np.array(ids, dtype=object), symbols, first, pieces, samples)
+    row = np.repeat(np.arange(len(m)), m)
+    at = np.flatnonzero(row[1:] == row[:-1])
+    pairs = np.unique(pair_keys(row[at], symbols[at], symbols[at + 1]))
+    return Items(np.array(ids, dtype=object), symbols, first, pieces, pairs)
+
 
+def ramp(counts: np.ndarray) -> np.ndarray:
+    """0 to count - 1 for each count, end to end."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
-def windows(words: Words, symbols: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(start, item) of every window that can be within the allowed edits; a text shorter than the item is one window."""
+
+def spans(words: Words, symbols: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, first start, last start) of the runs of windows that a piece found whole allows, none overlapping for an item."""
     p, n = Prefix(symbols), len(symbols)
     m_items = np.diff(items.first)
-    starts, which = [], []
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
     for length, (hashes, item, offset) in items.pieces.items():
         if n < length:
             continue
@@ -140,23 +120,45 @@ def windows(words: Words, symbols: np.ndarray, items: Items) -> tuple[np.ndarray
         lo, hi = np.searchsorted(hashes, grams[at], "left"), np.searchsorted(hashes, grams[at], "right")
         times = hi - lo
         at = np.repeat(at, times)
-        hit = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
-        k = allowed(m_items[item[hit]])
-        shifts = 2 * k + 1
-        row = np.repeat(np.arange(len(at)), shifts)
-        shift = np.arange(len(row)) - np.repeat(np.cumsum(shifts) - shifts, shifts) - k[row]
-        start = at[row] - offset[hit[row]] + shift
-        i = item[hit[row]]
+        hit = ramp(times) + np.repeat(lo, times)
+        i = item[hit]
+        k, base, doc = allowed(m_items[i]), at - offset[hit], words.doc[at]
         # windows stay inside their text
-        doc = words.doc[at[row]]
-        start = np.maximum(np.minimum(start, words.first[doc + 1] - m_items[i]), words.first[doc])
-        code = np.unique(start * len(m_items) + i)
-        starts.append(code // len(m_items))
-        which.append(code % len(m_items))
-    if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    code = np.unique(np.concatenate(starts) * len(m_items) + np.concatenate(which))
-    return code // len(m_items), code % len(m_items)
+        least, most = words.first[doc], np.maximum(words.first[doc + 1] - m_items[i], words.first[doc])
+        for x, y in zip(found, (i, np.clip(base - k, least, most), np.clip(base + k, least, most)), strict=True):
+            x.append(y)
+    i, lo, hi = (np.concatenate(x) for x in found)
+    order = np.lexsort((lo, i))
+    # one line for all items: item times more than any start
+    lo, hi = (i[order] * (n + 1) + x[order] for x in (lo, hi))
+    reach = np.maximum.accumulate(hi)
+    new = np.ones(len(lo), bool)
+    new[1:] = lo[1:] > reach[:-1]
+    last = np.append(new[1:], True) if len(new) else new
+    return lo[new] // (n + 1), lo[new] % (n + 1), reach[last] % (n + 1)
+
+
+def windows(words: Words, symbols: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(start, item) of every window that can be within the allowed edits, in turns; a text shorter than the item is one window."""
+    m_items = np.diff(items.first)
+    item, lo, hi = spans(words, symbols, items)
+    size = hi - lo + m_items[item]
+    turn = (np.cumsum(size) - size) // SPAN
+    for t in np.unique(turn):
+        i, a, n = (x[turn == t] for x in (item, lo, size))
+        row, at = np.repeat(np.arange(len(i)), n), np.repeat(a, n) + ramp(n)
+        left, right = (symbols[np.minimum(x, len(symbols) - 1)] for x in (at, at + 1))
+        key = pair_keys(i[row], left, right)
+        there = items.pairs[np.minimum(np.searchsorted(items.pairs, key), len(items.pairs) - 1)] == key if len(items.pairs) else np.zeros(len(key), bool)
+        sums = np.append(0, np.cumsum(there))
+        m = m_items[i]
+        starts = n - m + 1
+        where = np.repeat(np.cumsum(n) - n, starts) + ramp(starts)
+        i, m = i[row[where]], m[row[where]]
+        s = at[where]
+        short = s + m > words.first[words.doc[s] + 1]
+        ok = short | (sums[where + m - 1] - sums[where] >= m - 1 - 2 * allowed(m))
+        yield s[ok], i[ok]
 
 
 def edit_distances(a: np.ndarray, a_at: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_len: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -164,27 +166,21 @@ def edit_distances(a: np.ndarray, a_at: np.ndarray, a_len: np.ndarray, b: np.nda
     n, k = len(a_at), int(most.max(initial=0))
     far = np.int32(1 << 20)
     band = np.full((2 * k + 1, n), far, np.int32)  # band[d + k]: prefix i of a, prefix i + d of b
+    shift = np.arange(-k, k + 1, dtype=np.int32)[:, None]
     for d in range(k + 1):
         band[d + k] = np.where(d <= b_len, d, far)
     result = np.where((a_len == 0) & (b_len <= k), b_len, far).astype(np.int32)
     for i in range(1, int(a_len.max(initial=0)) + 1):
-        new = np.full_like(band, far)
         x = a[np.minimum(a_at + i - 1, len(a) - 1)]
-        for d in range(-k, k + 1):
-            j = i + d
-            if j < 0:
-                continue
-            if j == 0:
-                new[d + k] = i
-                continue
-            y = b[np.minimum(b_at + j - 1, len(b) - 1)]
-            best = band[d + k] + (x != y)
-            if d < k:
-                best = np.minimum(best, band[d + k + 1] + 1)
-            if d > -k:
-                best = np.minimum(best, new[d + k - 1] + 1)
-            new[d + k] = np.where(j <= b_len, best, far)
-        band = new
+        j = i + shift
+        y = b[np.clip(b_at + j - 1, 0, len(b) - 1)]
+        best = band + (x != y)
+        best[:-1] = np.minimum(best[:-1], band[1:] + 1)
+        best = np.where((j < 1) | (j > b_len), far, best)
+        if i <= k:
+            best[k - i] = i
+        # steps along b: each costs one
+        band = np.minimum.accumulate(best - shift, 0) + shift
         done = np.flatnonzero(a_len == i)
         d = (b_len - a_len)[done]
         near = np.abs(d) <= k
@@ -196,27 +192,23 @@ def leaks_of(texts: Texts, items: Items) -> tuple[np.ndarray, ...]:
     """(text, item, start, distance): the closest window, the earliest of equals, of each text and item that match."""
     words = plain_words(texts)
     symbols = words.hashes()
-    start, item = windows(words, symbols, items)
     m_items = np.diff(items.first)
     found = [[np.zeros(0, np.int64)] for _ in range(4)]
-    for lo in range(0, len(start), CHUNK):
-        s, i = start[lo : lo + CHUNK], item[lo : lo + CHUNK]
-        m, doc = m_items[i], words.doc[s]
-        size = np.minimum(m, words.first[doc + 1] - s)
-        keys = np.zeros((len(s), 0), np.uint64)
-        full = size == m
-        hit = ~full  # a short text is verified as it is
-        if full.any():
-            keys = sample_keys(symbols, s[full], m[full])
-            hit[full] = (keys == items.samples[i[full]]).any(1)
-        s, i, size, m, doc = s[hit], i[hit], size[hit], m[hit], doc[hit]
-        if not len(s):
-            continue
-        k = allowed(m)
-        distance = edit_distances(items.words, items.first[i], m, symbols, s, size, k)
-        ok = distance <= k
-        for x, y in zip(found, (doc, i, s - words.first[doc], distance), strict=True):
-            x.append(y[ok].astype(np.int64))
+    for start, item in windows(words, symbols, items):
+        # windows of one turn by allowed edits, so that few have a wider band than they need
+        order = np.argsort(m_items[item], kind="stable")
+        start, item = start[order], item[order]
+        cells = 2 * allowed(m_items[item]) + 1
+        turn = (np.cumsum(cells) - cells) // CELLS
+        for t in np.unique(turn):
+            s, i = start[turn == t], item[turn == t]
+            m, doc = m_items[i], words.doc[s]
+            size = np.minimum(m, words.first[doc + 1] - s)
+            k = allowed(m)
+            distance = edit_distances(items.words, items.first[i], m, symbols, s, size, k)
+            ok = distance <= k
+            for x, y in zip(found, (doc, i, s - words.first[doc], distance), strict=True):
+                x.append(y[ok].astype(np.int64))
     doc, i, s, distance = (np.concatenate(x) for x in found)
     order = np.lexsort((s, distance, i, doc))
     doc, i, s, distance = doc[order], i[order], s[order], distance[order]

@@ -102,6 +102,24 @@ def test_recall_of_samples_at_the_allowed_distance():
     assert n > 100 and hits >= 0.98 * n
 
 
+def test_every_leak_of_long_items_is_found():
+    rng = random.Random(10)
+    for m in (15, 30, 50, 80, 120, 200, 300, 500):
+        item = [f"v{rng.randrange(5000)}" for _ in range(m)]
+        items, near, k = decontam.prepare([1], [" ".join(item)]), [], int(0.2 * m + 1e-9)
+        for way in range(60):
+            # substitutions alone, at random or evenly spread: only the aligned window qualifies
+            w = list(item)
+            for x in rng.sample(range(m), k) if way % 2 else [(2 * j + 1) * m // (2 * k) for j in range(k)]:
+                w[x] = f"q{rng.randrange(10**9)}"
+            near.append(["z"] * way + w + ["z"] * 9)
+        far = ["z"] * 9 + [f"r{x}" if x % 4 == 0 else w for x, w in enumerate(item)] + ["z"] * 9
+        texts = next(iter(slices(pa.array([" ".join(w) for w in [*near, far]]))))
+        doc, _, start, edits = decontam.leaks_of(texts, items)
+        assert doc.tolist() == list(range(60)), m
+        assert start.tolist() == list(range(60)) and set(edits.tolist()) == {k}, m
+
+
 def test_distances():
     rng = random.Random(1)
     pairs = [([rng.randrange(4) for _ in range(rng.randrange(9))], [rng.randrange(4) for _ in range(rng.randrange(9))]) for _ in range(300)]
