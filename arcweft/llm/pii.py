@@ -34,8 +34,8 @@ LONG = 128
 #: Candidates, most specific first. A mail address begins where its run of characters does or where the last match ended: one
 #: start per run. Marks in front of its first letter or digit may be a bullet and stay as they are.
 MAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,10}"
-SECRET = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])"
-NAMED = r"(?<=[\"'])(?<=(?i:token|key|secret|password) ?[=:] ?[\"'])[A-Za-z0-9+/_=-]{8,128}(?=[\"'])"
+SECRET = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])"
+NAMED = r"(?<=[\"'])(?<=(?i:token|key|secret|password) ?[=:] ?[\"'])[A-Za-z0-9+/_=-]{8,}+(?=[\"'])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![0-9A-Za-z])"
 DATE = r"(?<![0-9.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9]|[.-][0-9])"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"

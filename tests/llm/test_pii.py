@@ -67,6 +67,21 @@ def test_mail_after_marks_and_of_any_length(spark):
     assert [r.text[3:-5] for r in pii.pseudonymized(spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string"), inverse=True).orderBy("doc_id").collect()] == values
 
 
+def test_secrets_of_any_length(spark):
+    rng = random.Random(6)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (32, 128, 130, 513, 20_001)]
+    named = ["".join(rng.choice("abcXYZ019") for _ in range(n)) for n in (8, 128, 129, 5_000)]
+    text = [f"is {h}, yes" for h in hexes] + [f"is token='{x}', yes" for x in named]
+    rows = pii.op10_pii(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_found for r in rows] == [1] * len(text)
+    for old, r in zip(hexes, rows):
+        assert re.fullmatch(r"is [0-9a-f]+, yes", r.text) and len(r.text) == len(old) + 8
+    for old, r in zip(text, rows):
+        # all parts are permuted
+        assert len(r.text) == len(old) and not any(old[i : i + 24] in r.text for i in range(12, len(old) - 40, 24)) and r.text != old
+    assert [r.text for r in pii.pseudonymized(spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string"), inverse=True).orderBy("doc_id").collect()] == text
+
+
 def test_clean_texts_and_edge_cases(spark):
     clean = ["", None, "no data here", "version 3.14.15 of 2020", "1.2.3", "Apache License, Version 2.0.", "12 items, 2,000 words", "é" * 1000, "a@b", "key", "x" * 300_000 + " 10 "]
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(clean)] + [(None, "8.8.8.8", "k"), (None, "8.8.8.8", "k")], "doc_id long, text string, key string")
