@@ -41,6 +41,8 @@ DATE = r"(?<![0-9.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
+#: Country codes: those of one and of two digits, all others have three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 NUMBER = r"(?<![0-9-])[0-9]{3}-[0-9]{2,3}-[0-9]{4}(?![0-9-])"
 CANDIDATE = "|".join((MAIL, SECRET, NAMED, IBAN, DATE, ADDRESS, PHONE, CARD, NUMBER))
 #: A quick test: a line without one of these holds no candidate, and no candidate crosses lines.
@@ -169,9 +171,10 @@ def address(m: Column, key: str, inverse: bool) -> Column:
 
 
 def phone(m: Column, key: str, inverse: bool) -> Column:
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}", 0)
-    rest = F.substr(m, F.char_length(code) + 1, F.char_length(m))
-    return F.concat(code, fill(rest, permute_chars(digits_of(rest), key, "phone", inverse), "[0-9]"))
+    digits = digits_of(m)
+    code = F.when(m.startswith("+"), F.regexp_extract(digits, COUNTRY, 0)).otherwise("")
+    rest = F.substr(digits, F.char_length(code) + 1, F.char_length(digits))
+    return fill(m, F.concat(code, permute_chars(rest, key, "phone", inverse)), "[0-9]")
 
 
 def mod97(text: Column) -> Column:

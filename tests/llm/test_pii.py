@@ -52,6 +52,18 @@ def test_spacing_does_not_matter(spark):
     assert len({re.sub("[ -]", "", r.text) for r in pii.pseudonymized(docs).collect()}) == 1
 
 
+def test_spacing_of_phone_numbers_does_not_matter(spark):
+    groups = [("1", ["+15551234567", "+1 555 123 4567", "+1 (555) 123-4567", "+1-555-123-4567", "+155 5123 4567"]), ("44", ["+442079460018", "+44 20 7946 0018", "+44 (20) 7946-0018"]), ("353", ["+35312345678", "+353 1234 5678"])]
+    text = [x for _, g in groups for x in g]
+    rows = pii.op10_pii(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_found for r in rows] == [1] * len(text) and all(re.sub("[0-9]", "9", x) == re.sub("[0-9]", "9", r.text) for x, r in zip(text, rows))
+    out = iter(re.sub("[^0-9]", "", r.text) for r in rows)
+    for code, group in groups:
+        got = {next(out) for _ in group}
+        assert len(got) == 1 and min(got).startswith(code) and min(got) != re.sub("[^0-9]", "", group[0])
+    assert [r.text for r in pii.pseudonymized(spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string"), inverse=True).orderBy("doc_id").collect()] == text
+
+
 def test_mail_after_marks_and_of_any_length(spark):
     known = "john.doe@example.org"
     values = [known, "-" + known, "_ana@example.org", "--kim@x.org", "...mail@x.com", "%a+b@x.com", "b4" * 40 + "@x.org", "ab.c" * 20_000 + "@x.org", "ann@" + "d" * 90 + ".org", "4111 1111 1111 1111bob@x.org", "ann@x.com_bob@y.org"]
