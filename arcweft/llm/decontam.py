@@ -1,6 +1,7 @@
 """Benchmark decontamination: documents that hold a window close in edit distance to a benchmark item.
 
-Texts become words (runs of letters and digits, case folded for ASCII and Latin-1). An item of m words is leaked by a document
+Texts become words (runs of letters and digits, case folded for ASCII and Latin-1; in scripts without spaces, such as Chinese,
+Japanese or Thai, each character is a word). An item of m words is leaked by a document
 with a window of m words at most floor(0.2 * m) word edits away. For every block of items, in one pass over whole texts:
 
 1. Only windows that can qualify are formed: an item cut into one more piece than edits allowed keeps some piece whole
@@ -12,7 +13,8 @@ with a window of m words at most floor(0.2 * m) word edits away. For every block
 Items are sent to the tasks in blocks of at most BLOCK_BYTES of text, each block one pass; so the broadcast is bounded
 whatever the benchmark's size. No shuffle of texts.
 
-Nulls: a null document or item text is empty; items under MIN_WORDS words match nothing. Null ids are returned as they are.
+Nulls: a null document or item text is empty; items under MIN_WORDS words match exact copies with `short`,
+which the query and the pipeline set, else nothing; items without words match nothing. Null ids are returned as they are.
 Repeated rows each give their rows; ties between windows go to the earliest. Empty tables: no rows. Extra columns are ignored.
 """
 
@@ -39,6 +41,21 @@ SLICE, SPAN, CELLS = 1 << 20, 1 << 19, 1 << 18
 _GAPS = np.zeros(256, bool)
 _GAPS[:128] = [not chr(c).isalnum() for c in range(128)]
 
+#: First and last characters of scripts written without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, Tai, Javanese, Balinese, kana, Han.
+_UNSPACED = np.array([(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)])
+
+
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Bytes where characters of scripts without spaces begin, and where they end."""
+    at = np.flatnonzero(data >= 0xE0)
+    four = data[at] >= 0xF0
+    byte = lambda i: data[np.minimum(at + i, len(data) - 1)].astype(np.int64)
+    code = ((byte(0) & 15) << 12) | ((byte(1) & 63) << 6) | (byte(2) & 63)
+    code = np.where(four, ((code & 0x7FFF) << 6) | (byte(3) & 63), code)
+    among = np.searchsorted(_UNSPACED[:, 0], code, "right") - 1
+    ok = (among >= 0) & (code <= _UNSPACED[among, 1])
+    return np.concatenate((at[ok], at[ok] + 3 + four[ok]))
+
 
 def folded(data: np.ndarray) -> np.ndarray:
     """Small letters for A-Z and for the capitals U+00C0 to U+00DE (two bytes in UTF-8)."""
@@ -50,7 +67,7 @@ def folded(data: np.ndarray) -> np.ndarray:
 
 
 def plain_words(texts: Texts) -> Words:
-    return Words(texts, folded(texts.data), _GAPS)
+    return Words(texts, folded(texts.data), _GAPS, unspaced(texts.data))
 
 
 @dataclass(frozen=True)
@@ -73,12 +90,12 @@ def pair_keys(item: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarr
     return mix(mix(mix(item.astype(np.uint64)) ^ left, 1) ^ right, 2)
 
 
-def prepare(ids: list, texts: list[str]) -> Items:
+def prepare(ids: list, texts: list[str], short: bool = False) -> Items:
     everything = [x for x in slices(pa.array(texts, pa.string()), 1 << 62)]
     words = plain_words(everything[0])
     symbols, first = words.hashes(), words.first
     m = np.diff(first)
-    use = np.flatnonzero(m >= MIN_WORDS)
+    use = np.flatnonzero(m >= (1 if short else MIN_WORDS))
     p = Prefix(symbols)
     found: dict[int, list] = {}
     for i in use.tolist():
@@ -230,13 +247,13 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple
         yield ids, texts
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short: bool = False) -> DataFrame:
     """doc_id, item_id, start_word, edits, item_words of every document and item that match."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, start_word int, edits int, item_words int"
     parts: list[DataFrame] = []
     for ids, item_texts in blocks(benchmark, item_col, item_text_col):
-        items = prepare(ids, item_texts)
+        items = prepare(ids, item_texts, short)
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             m = np.diff(items.first)
@@ -259,11 +276,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short: bool = False) -> DataFrame:
     """The rows of docs, as they are, whose text leaks no item."""
     kept = docs
     for ids, item_texts in blocks(benchmark, item_col, item_text_col):
-        items, at = prepare(ids, item_texts), kept.columns.index(text_col)
+        items, at = prepare(ids, item_texts, short), kept.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items, at: int = at) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -279,4 +296,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
 
 def op2_benchmark_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return leaks(docs, benchmark)
+    return leaks(docs, benchmark, short=True)

@@ -62,15 +62,19 @@ class Texts:
 
 
 class Words:
-    """`start` and `end` (bytes) of every word, `doc` its text, `first` each text's first word and the number of words."""
+    """`start` and `end` (bytes) of every word, `doc` its text, `first` each text's first word and the number of words.
 
-    def __init__(self, texts: Texts, data: np.ndarray, gaps: np.ndarray):
+    `breaks`: bytes before which a word ends, besides the gaps."""
+
+    def __init__(self, texts: Texts, data: np.ndarray, gaps: np.ndarray, breaks: np.ndarray | None = None):
         self.texts, self.data = texts, data
         n = len(data)
         gap = np.ones(n + 2, bool)
         gap[1:-1] = gaps[data]
         edge = np.zeros(n + 1, bool)
         edge[texts.offsets] = True
+        if breaks is not None:
+            edge[breaks] = True
         inside = ~gap
         self.start = np.flatnonzero(inside[1:-1] & (gap[:-2] | edge[:-1]))
         self.end = np.flatnonzero(inside[1:-1] & (gap[2:] | edge[1:])) + 1

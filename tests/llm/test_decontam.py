@@ -120,6 +120,18 @@ def test_every_leak_of_long_items_is_found():
         assert start.tolist() == list(range(60)) and set(edits.tolist()) == {k}, m
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(30))
+    thai, rare = "ภาษาไทยไม่เว้นวรรค", "".join(chr(0x20000 + 5 * i) for i in range(10))
+    items = [(1, "two words"), (2, "Zebra"), (3, han), (4, thai), (5, "one two three four"), (6, rare), (7, "!"), (8, "é—ü")]
+    docs = [(1, "here TWO, words end"), (2, "two other words"), (3, "a zebra."), (4, "zebras"), (5, "x" + han[:10] + "一二三" + han[13:] + "y"), (6, han[:15] + "一" * 7 + han[22:])]
+    docs += [(7, "ก" + thai + "ข"), (8, "one two three five"), (9, "0 one two three four 0"), (10, "é" + rare[:4] + "丁" + rare[5:]), (11, None), (12, "! é—ü")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.edits, r.start_word) for r in decontam.op2_benchmark_decontamination(df, bench).collect()}
+    assert got == {(1, 1): (0, 1), (3, 2): (0, 1), (5, 3): (3, 1), (7, 4): (0, 1), (9, 5): (0, 1), (10, 6): (1, 1), (12, 8): (0, 0)}
+    assert {r.doc_id for r in decontam.clean(df, bench, short=True).collect()} == {2, 4, 6, 8, 11}
+
+
 def test_distances():
     rng = random.Random(1)
     pairs = [([rng.randrange(4) for _ in range(rng.randrange(9))], [rng.randrange(4) for _ in range(rng.randrange(9))]) for _ in range(300)]
