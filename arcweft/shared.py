@@ -13,9 +13,12 @@ HEAVY = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local session gets a temporary
+    folder; a cluster has none that its machines share, so there it raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="arcweft-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -39,8 +42,19 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], weight: str, spread
 
     The HEAVY keys of largest `weight` (how many rows have that key) are broadcast, a number that does not grow; rows
     with such a key are dealt by `spread` in the shuffle join that serves all others. The table should be cut."""
+    return _dealt(rows, table, table.orderBy(F.desc(weight), *on).limit(HEAVY), on, spread)
+
+
+def attach(rows: DataFrame, table: DataFrame, on: list[str], spread: Column) -> DataFrame:
+    """As `lookup`, to a table that does not know how many rows have its keys: these are counted first (partial sums, then
+    keys alone are shuffled). The table has one row per key, or few."""
+    counts = rows.groupBy(*on).agg(F.count("*").alias("_rows"))
+    heavy = counts.orderBy(F.desc("_rows"), *on).limit(HEAVY).where("_rows > 1").drop("_rows")
+    return _dealt(rows, table, table.join(F.broadcast(heavy), on), on, spread)
+
+
+def _dealt(rows: DataFrame, table: DataFrame, heavy: DataFrame, on: list[str], spread: Column) -> DataFrame:
     values = [c for c in table.columns if c not in on]
-    heavy = table.orderBy(F.desc(weight), *on).limit(HEAVY)
     heavy = heavy.select(*on, F.lit(1).alias("_heavy"), *(F.col(c).alias(f"_h_{c}") for c in values))
     marked = rows.join(F.broadcast(heavy), on, "left")
     marked = marked.withColumn("_salt", F.when(F.col("_heavy") == 1, F.pmod(F.xxhash64(spread), F.lit(100_003)) + 1).otherwise(0))
@@ -75,21 +89,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     hub with most of the edges stays spread out."""
     e = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi").distinct()
     e = cut(e, "edges")
-    before = None
     for _ in range(max_rounds):
+        # converged when every vertex is a root, or hangs from exactly one vertex, which is a root
+        ends = e.select(F.col("hi").alias("id"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionAll(e.select(F.col("lo").alias("id"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        ends = ends.groupBy("id").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if ends.where("below > 1 or (below > 0 and above > 0)").isEmpty():
+            break
+        # the two tables of least neighbours are computed once: both of their readers share one exchange
         arcs = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = cut(arcs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "stars")
+        least = arcs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
         large = lookup(arcs, least, ["u"], "n", F.col("v")).where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         large = cut(large.where("lo < hi").distinct(), "large")
-        least = cut(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")), "stars")
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
         small = lookup(large, least, ["hi"], "n", F.col("lo"))
         small = small.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo < hi").unionAll(least.select(F.col("m").alias("lo"), "hi"))
         e = cut(small.distinct(), "edges")
-        # converged when every vertex other than a root hangs from exactly one vertex, which is itself a root
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     roots = e.select(F.col("lo").alias("id")).distinct()

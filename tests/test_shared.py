@@ -16,6 +16,9 @@ def test_lookup_with_a_hot_key(spark, monkeypatch):
     got = shared.lookup(rows, shared.cut(table), ["k"], "n", F.col("id")).collect()
     assert len(got) == 1002
     assert all(r.v == want.get(r.k) for r in got)
+    got = shared.attach(rows, table.drop("n"), ["k"], F.col("id")).collect()
+    assert len(got) == 1002
+    assert all(r.v == want.get(r.k) for r in got)
 
 
 def test_narrowed_keeps_all_ids(spark):
