@@ -2,26 +2,38 @@
 
 Texts become words (runs of letters and digits, case folded for ASCII and Latin-1; in scripts without spaces, such as Chinese,
 Japanese or Thai, each character is a word). An item of m words is leaked by a document
-with a window of m words at most floor(0.2 * m) word edits away. For every block of items, in one pass over whole texts:
-
-1. Only windows that can qualify are formed: an item cut into one more piece than edits allowed keeps some piece whole
-   (pigeonhole), so windows are laid around every occurrence of a piece, shifted by up to the edits allowed. No loss.
-2. An edit changes at most two word pairs, so a window of m words within k edits holds at least m - 1 - 2k pairs of the item;
-   windows with fewer are dropped. No loss, at any length.
-3. All others are verified by exact banded edit distance, so every leak is found, at its closest window.
-
-Items are sent to the tasks in blocks of at most BLOCK_BYTES of text, each block one pass; so the broadcast is bounded
-whatever the benchmark's size. No shuffle of texts.
-
-Nulls: a null document or item text is empty; items under MIN_WORDS words match exact copies with `short`,
-which the query and the pipeline set, else nothing; items without words match nothing. Null ids are returned as they are.
+with a window of m words at most floor(0.2 * m) word edits away. In one pass over whole texts:
+
+1. CGK embedding: a random walk over a window's words, which stays on a word or steps on as random bits of the word say, and writes
+   down the word at each step. Windows a few edits apart give walks that agree in most places (Hamming distance). A
+   window is walked from its first word on and from its last word back, WALKS times each, with as many steps as the least window
+   of its length class has words, so that no walk leaves its window and windows of all sizes at one place share their walks.
+2. Bit sampling: SAMPLES sets of PLACES steps of every walk are the keys of hash tables that hold the items' own walks. A window
+   and an item that agree on any key are a candidate. The numbers are chosen for a recall over 0.99 of single windows at the
+   allowed distance in every length class (measured over random, evenly spread, leading and trailing edits: 0.998 and
+   more); most leaks have several windows near enough. Items over LONGEST words enter as parts of 33 to 48 words; of edits within the
+   allowed share one part at least has no more than its share.
+3. An edit changes at most two word pairs, so a window within k edits of an item of m words holds at least m - 1 - 2k pairs
+   of the item's. Windows with fewer pairs of any item are not walked, candidates with fewer of their own item's not verified.
+   This loses nothing. Items under five words allow no edit, so their walks are equal and none is missed.
+4. All others are verified by exact banded edit distance, with the windows around them; the closest window is returned.
+
+Items are sent to the tasks in blocks of at most BLOCK_BYTES of text, each block one pass; so what is sent is bounded
+whatever the benchmark's size. Candidates are formed and verified in turns of at most SPAN of them, so items that share a key
+with many others (common openings) cost time, not memory. No shuffle of texts.
+
+Nulls: a null document or item text is empty; items without words match nothing. Null ids are returned as they are.
 Repeated rows each give their rows; ties between windows go to the earliest. Empty tables: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +41,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcweft.llm.words import Prefix, Texts, Words, mix, slices
+from arcweft.llm.words import Texts, Words, joined, mix, slices
 from arcweft.shared import cut
 
-MIN_WORDS, EDITS = 5, 0.2
-BLOCK_BYTES = 4 << 20
-#: Bytes of text, words of spans of windows, and cells of the bands of windows worked on at a time.
+EDITS = 0.2
+#: Walks in each direction, samples of each, and steps in a sample.
+WALKS, SAMPLES, PLACES = 6, 12, 3
+#: Least words of the length classes, and the most words of an item that is embedded whole.
+CLASSES, LONGEST, PART = (1, 2, 3, 5, 6, 8, 11, 15, 20, 26, 34, 45), 64, 48
+BLOCK_BYTES = 16 << 20
+#: Bytes of text, candidates (and words of spans of windows) and cells of the bands of windows worked on at a time.
 SLICE, SPAN, CELLS = 1 << 20, 1 << 19, 1 << 18
 
 #: All ASCII characters other than letters and digits part words.
@@ -70,15 +86,29 @@ def plain_words(texts: Texts) -> Words:
     return Words(texts, folded(texts.data), _GAPS, unspaced(texts.data))
 
 
+@dataclass(frozen=True)
+class Tables:
+    """The hash tables of a length class: sizes of its parts, and by sorted key the part's item, offset and size."""
+
+    low: int
+    sizes: np.ndarray
+    keys: np.ndarray
+    item: np.ndarray
+    offset: np.ndarray
+    size: np.ndarray
+    maybe: np.ndarray  # a bitmap of the keys' last bits
+
+
 @dataclass(frozen=True)
 class Items:
-    """Words of all items end to end, and their pieces by length, sorted by hash."""
+    """Words of all items end to end, the tables of their walks, and their word pairs."""
 
     ids: np.ndarray
     words: np.ndarray
     first: np.ndarray
-    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # hashes, items, offsets
+    tables: list[Tables]
     pairs: np.ndarray  # hashes of (item, word pair), sorted
+    any_pairs: np.ndarray  # hashes of word pairs, sorted
 
 
 def allowed(m: np.ndarray) -> np.ndarray:
@@ -90,30 +120,85 @@ def pair_keys(item: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarr
     return mix(mix(mix(item.astype(np.uint64)) ^ left, 1) ^ right, 2)
 
 
-def prepare(ids: list, texts: list[str], short: bool = False) -> Items:
-    everything = [x for x in slices(pa.array(texts, pa.string()), 1 << 62)]
-    words = plain_words(everything[0])
+def walk(symbols: np.ndarray, bits: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, way: int, steps: int) -> list[np.ndarray]:
+    """The words that a random walk from each place meets, `way` 1 or -1; 0 beyond [low, high)."""
+    out, at = [], at.copy()
+    for j in range(steps):
+        inside = (at >= low) & (at < high)
+        here = np.where(inside, at, 0)
+        out.append(np.where(inside, symbols[here], np.uint64(0)))
+        at += way * ((bits[here] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
+    return out
+
+
+@lru_cache(maxsize=64)
+def samples(low: int) -> tuple[tuple, ...]:
+    """(walk, way, places of each sample) of a class. Where no edit is allowed one walk agrees for certain."""
+    sure = low < 5
+    lot = random.Random(low)
+    every = list(combinations(range(low), min(PLACES, low)))
+    draw = lambda: tuple(lot.sample(every, min(1 if sure else SAMPLES, len(every))))
+    return tuple((w, way, draw()) for w in range(1 if sure else WALKS) for way in ((1,) if sure else (1, -1)))
+
+
+def walk_bits(symbols: np.ndarray, w: int) -> np.ndarray:
+    return mix(symbols, 100 + w)
+
+
+def sample_keys(low: int, w: int, way: int, places: tuple[tuple[int, ...], ...], steps: list[np.ndarray]) -> Iterator[np.ndarray]:
+    for s, sample in enumerate(places):
+        key = np.full(len(steps[0]), ((low * 64 + w) * 4 + way + 1) * 64 + s, np.uint64)
+        for place in sample:
+            key = mix(key, 3) ^ steps[place]
+        yield mix(key, 4)
+
+
+def parts_of(m: int) -> list[tuple[int, int]]:
+    """(offset, size) of the parts of an item of m words."""
+    n = 1 if m <= LONGEST else -(-m // PART)
+    edges = [m * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+
+
+def prepare(ids: list, texts: list[str]) -> Items:
+    words = plain_words(next(iter(slices(pa.array(texts, pa.string()), 1 << 62))))
     symbols, first = words.hashes(), words.first
     m = np.diff(first)
-    use = np.flatnonzero(m >= (1 if short else MIN_WORDS))
-    p = Prefix(symbols)
-    found: dict[int, list] = {}
-    for i in use.tolist():
-        pieces = int(allowed(m[i])) + 1
-        edges = [int(m[i]) * q // pieces for q in range(pieces + 1)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            found.setdefault(b - a, []).append((i, a))
-    pieces = {}
-    for length, x in found.items():
-        item, offset = (np.array(c, np.int64) for c in zip(*x, strict=True))
-        start = first[item] + offset
-        h = p.of(start, start + length)
-        order = np.argsort(h, kind="stable")
-        pieces[length] = (h[order], item[order], offset[order])
+    rows = [(i, offset, size) for i, x in enumerate(m.tolist()) for offset, size in parts_of(x)]
+    item, offset, size = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
+    group = np.searchsorted(CLASSES, size, "right") - 1
+    tables = []
+    for g in np.unique(group).tolist():
+        mine, low = np.flatnonzero(group == g), CLASSES[g]
+        start = first[item[mine]] + offset[mine]
+        end = start + size[mine]
+        keys, who = [], []
+        for w, way, places in samples(low):
+            steps = walk(symbols, walk_bits(symbols, w), start if way > 0 else end - 1, start, end, way, low)
+            for key in sample_keys(low, w, way, places, steps):
+                keys.append(key)
+                who.append(mine)
+        key, who = np.concatenate(keys), np.concatenate(who)
+        order = np.argsort(key, kind="stable")
+        key, who = key[order], who[order]
+        maybe = np.zeros(1 << max(16, min(26, int(8 * len(key)).bit_length())), bool)
+        maybe[(key & np.uint64(len(maybe) - 1)).astype(np.int64)] = True
+        tables.append(Tables(low, np.unique(size[mine]), key, item[who], offset[who], size[who], maybe))
     row = np.repeat(np.arange(len(m)), m)
     at = np.flatnonzero(row[1:] == row[:-1])
     pairs = np.unique(pair_keys(row[at], symbols[at], symbols[at + 1]))
-    return Items(np.array(ids, dtype=object), symbols, first, pieces, pairs)
+    return Items(np.array(ids, dtype=object), symbols, first, tables, pairs, np.unique(joined(symbols[at], symbols[at + 1])))
+
+
+@lru_cache(maxsize=2)
+def prepared(block: bytes) -> Items:
+    """One preparation per worker process and block of items."""
+    return prepare(*pickle.loads(block))
+
+
+def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted table."""
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values if len(table) else np.zeros(len(values), bool)
 
 
 def ramp(counts: np.ndarray) -> np.ndarray:
@@ -121,34 +206,68 @@ def ramp(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def spans(words: Words, symbols: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item, first start, last start) of the runs of windows that a piece found whole allows, none overlapping for an item."""
-    p, n = Prefix(symbols), len(symbols)
-    m_items = np.diff(items.first)
-    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
-    for length, (hashes, item, offset) in items.pieces.items():
-        if n < length:
-            continue
-        grams = p.of(np.arange(n - length + 1), np.arange(length, n + 1))
-        low = np.zeros(1 << 20, bool)
-        low[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        at = np.flatnonzero(low[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        at = at[words.doc[at] == words.doc[at + length - 1]]
-        lo, hi = np.searchsorted(hashes, grams[at], "left"), np.searchsorted(hashes, grams[at], "right")
-        times = hi - lo
-        at = np.repeat(at, times)
-        hit = ramp(times) + np.repeat(lo, times)
-        i = item[hit]
-        k, base, doc = allowed(m_items[i]), at - offset[hit], words.doc[at]
-        # windows stay inside their text
-        least, most = words.first[doc], np.maximum(words.first[doc + 1] - m_items[i], words.first[doc])
-        for x, y in zip(found, (i, np.clip(base - k, least, most), np.clip(base + k, least, most)), strict=True):
-            x.append(y)
-    i, lo, hi = (np.concatenate(x) for x in found)
-    order = np.lexsort((lo, i))
+def candidates(words: Words, symbols: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, item, start), in turns: windows that share a key with an item; place is a word of the window's text."""
+    n = len(symbols)
+    pair = np.flatnonzero(words.doc[1:] == words.doc[:-1])
+    there = np.zeros(n, np.int32)
+    there[pair[among(joined(symbols[pair], symbols[pair + 1]), items.any_pairs)]] = 1
+    most = max((int(t.sizes.max()) for t in items.tables), default=1)
+    sums = np.concatenate([[0], np.cumsum(there)]).astype(np.int32)
+    before, after = np.concatenate([np.full(most, 0, np.int32), sums]), np.concatenate([sums, np.full(most, sums[-1], np.int32)])
+    every = np.arange(n)
+    low, high = words.first[words.doc], words.first[words.doc + 1]
+    bits = [walk_bits(symbols, w) for w in range(WALKS)]
+    for t in items.tables:
+        starts, ends = np.zeros(n, bool), np.zeros(n, bool)
+        for size in t.sizes.tolist():
+            need = size - 1 - 2 * int(EDITS * size + 1e-9)
+            starts |= after[size - 1 : size - 1 + n] - sums[:n] >= need
+            ends |= sums[:n] - before[most + 1 - size : most + 1 - size + n] >= need
+        found = [[np.zeros(0, np.int64)] for _ in range(2)]
+        held = 0
+        for w, way, places in samples(t.low):
+            at = every[starts if way > 0 else ends]
+            for lo in range(0, len(at), 1 << 16):
+                p = at[lo : lo + (1 << 16)]
+                steps = walk(symbols, bits[w], p, low[p], high[p], way, t.low)
+                for key in sample_keys(t.low, w, way, places, steps):
+                    some = np.flatnonzero(t.maybe[(key & np.uint64(len(t.maybe) - 1)).astype(np.int64)])
+                    left, right = (np.searchsorted(t.keys, key[some], side) for side in ("left", "right"))
+                    times = right - left
+                    turn = (np.cumsum(times) - times) // SPAN
+                    for k in np.unique(turn[times > 0]).tolist():
+                        now = np.flatnonzero((turn == k) & (times > 0))
+                        hit = ramp(times[now]) + np.repeat(left[now], times[now])
+                        place = np.repeat(p[some[now]], times[now])
+                        start = place - t.offset[hit] if way > 0 else place - t.offset[hit] - t.size[hit] + 1
+                        # one number for a place's text, item and start; starts may lie before their text
+                        found[0].append(t.item[hit] * (2 * n + 1) + start + n)
+                        found[1].append(place)
+                        held += len(hit)
+                        if held > SPAN:
+                            yield unpacked(found, n)
+                            found, held = [[np.zeros(0, np.int64)] for _ in range(2)], 0
+        yield unpacked(found, n)
+
+
+def unpacked(found: list[list[np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    both, at = np.unique(np.concatenate(found[0]), return_index=True)
+    return np.concatenate(found[1])[at], both // (2 * n + 1), both % (2 * n + 1) - n
+
+
+def spans(words: Words, items: Items, place: np.ndarray, item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, first start, last start) of the runs of windows around candidates, none overlapping for an item."""
+    n, m = len(words.start), np.diff(items.first)[item]
+    doc, k = words.doc[place], 2 * allowed(m)
+    # windows stay inside their text
+    least, most = words.first[doc], np.maximum(words.first[doc + 1] - m, words.first[doc])
+    lo, hi = np.clip(start - k, least, most), np.clip(start + k, least, most)
+    order = np.lexsort((lo, item))
+    i = item[order]
     # one line for all items: item times more than any start
-    lo, hi = (i[order] * (n + 1) + x[order] for x in (lo, hi))
-    reach = np.maximum.accumulate(hi)
+    lo, hi = (i * (n + 1) + x[order] for x in (lo, hi))
+    reach = np.maximum.accumulate(hi) if len(hi) else hi
     new = np.ones(len(lo), bool)
     new[1:] = lo[1:] > reach[:-1]
     last = np.append(new[1:], True) if len(new) else new
@@ -157,8 +276,13 @@ def spans(words: Words, symbols: np.ndarray, items: Items) -> tuple[np.ndarray,
 
 def windows(words: Words, symbols: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(start, item) of every window that can be within the allowed edits, in turns; a text shorter than the item is one window."""
+    for found in candidates(words, symbols, items):
+        if len(found[0]):
+            yield from windows_of(words, symbols, items, *spans(words, items, *found))
+
+
+def windows_of(words: Words, symbols: np.ndarray, items: Items, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     m_items = np.diff(items.first)
-    item, lo, hi = spans(words, symbols, items)
     size = hi - lo + m_items[item]
     turn = (np.cumsum(size) - size) // SPAN
     for t in np.unique(turn):
@@ -166,8 +290,7 @@ def windows(words: Words, symbols: np.ndarray, items: Items) -> Iterator[tuple[n
         row, at = np.repeat(np.arange(len(i)), n), np.repeat(a, n) + ramp(n)
         left, right = (symbols[np.minimum(x, len(symbols) - 1)] for x in (at, at + 1))
         key = pair_keys(i[row], left, right)
-        there = items.pairs[np.minimum(np.searchsorted(items.pairs, key), len(items.pairs) - 1)] == key if len(items.pairs) else np.zeros(len(key), bool)
-        sums = np.append(0, np.cumsum(there))
+        sums = np.append(0, np.cumsum(among(key, items.pairs)))
         m = m_items[i]
         starts = n - m + 1
         where = np.repeat(np.cumsum(n) - n, starts) + ramp(starts)
@@ -247,15 +370,16 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple
         yield ids, texts
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start_word, edits, item_words of every document and item that match."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, start_word int, edits int, item_words int"
     parts: list[DataFrame] = []
     for ids, item_texts in blocks(benchmark, item_col, item_text_col):
-        items = prepare(ids, item_texts, short)
+        block = pickle.dumps((ids, item_texts))
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block: bytes = block) -> Iterator[pa.RecordBatch]:
+            items = prepared(block)
             m = np.diff(items.first)
             for batch in batches:
                 for part in slices(batch.column(1), SLICE):
@@ -276,13 +400,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short: bool = False) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, as they are, whose text leaks no item."""
     kept = docs
     for ids, item_texts in blocks(benchmark, item_col, item_text_col):
-        items, at = prepare(ids, item_texts, short), kept.columns.index(text_col)
+        block, at = pickle.dumps((ids, item_texts)), kept.columns.index(text_col)
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items, at: int = at) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block: bytes = block, at: int = at) -> Iterator[pa.RecordBatch]:
+            items = prepared(block)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for part in slices(batch.column(at), SLICE):
@@ -296,4 +421,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
 
 def op2_benchmark_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return leaks(docs, benchmark, short=True)
+    return leaks(docs, benchmark)

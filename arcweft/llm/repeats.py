@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweft.llm.words import Prefix, Texts, Words, mix, signed, slices
-from arcweft.shared import cut, lookup
+from arcweft.llm.words import Runs, Words, mix, signed, slices
+from arcweft.shared import cut, lookup, narrowed
 
 LENGTH, SEED = 50, 15
 
@@ -36,9 +36,9 @@ def anchors(words: Words, length: int, seed: int) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if n < length:
         return none.view(np.uint64), none.view(np.uint64), none, none, none
-    p = Prefix(h)
+    runs = Runs(h)
     starts = np.arange(n - seed + 1)
-    grams = p.of(starts, starts + seed)
+    grams = runs.of(starts, seed)
     wide = length - seed + 1
     # the smallest of `wide` grams from each place, by doubling; the place is kept in the low bits, so the first wins ties
     bits = np.uint64(max(1, int(n).bit_length()))
@@ -58,38 +58,34 @@ def anchors(words: Words, length: int, seed: int) -> tuple[np.ndarray, ...]:
     first, last = first[inside[first]], last[inside[first]]
     at = anchor[first]
     # the place of the anchor in the context is part of the context
-    context = mix(p.of(first, last + length - 1, 1) + (at - first).astype(np.uint64), 3)
+    context = mix(runs.of(first, last - first + length - 1, 1) + (at - first).astype(np.uint64), 3)
     return grams[at], context, words.doc[first], first - words.first[words.doc[first]], last - first
 
 
-def kept_hash(words: Words, i: int, keep: np.ndarray | None = None) -> str:
-    """SHA-256 of text i's words (those marked) with one space between."""
-    lo, hi = words.first[i], words.first[i + 1]
-    at = range(lo, hi) if keep is None else (lo + np.flatnonzero(keep)).tolist()
-    start, end, data = words.start, words.end, words.data
-    return hashlib.sha256(b" ".join(data[start[j] : end[j]].tobytes() for j in at)).hexdigest()
-
-
-def plain_hashes(words: Words) -> list[str]:
-    """kept_hash of every text, in bulk: gaps become single spaces."""
-    length = words.end - words.start
+def kept_hashes(words: Words, keep: np.ndarray | None = None) -> list[str]:
+    """SHA-256 of every text's words (those marked) with one space between, laid out in bulk."""
+    start, end, first = words.start, words.end, words.first
+    if keep is not None:
+        first = np.r_[0, np.cumsum(keep)][first]
+        start, end = start[keep], end[keep]
+    length = end - start
     to = np.cumsum(length + 1)
     out = np.full(int(to[-1]) if len(to) else 0, 0x20, np.uint8)
-    lead = np.repeat(to - length - 1 - words.start, length)
-    take = np.arange(int(length.sum())) if not len(to) else np.repeat(words.start - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(int(length.sum()))
-    if len(take):
-        out[take + lead] = words.data[take]
-    edges = np.r_[0, to][words.first]
+    if len(to):
+        step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        out[step + np.repeat(to - length - 1, length)] = words.data[step + np.repeat(start, length)]
+    edges = np.r_[0, to][first]
     flat = out.tobytes()
     return [hashlib.sha256(flat[a : max(a, b - 1)]).hexdigest() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
-def spans(first: np.ndarray, count: np.ndarray, length: int, n: int) -> np.ndarray:
-    """Which of n words are covered by the passages first .. first + count - 1."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, first, 1)
-    np.add.at(edge, first + count + length - 1, -1)
-    return np.cumsum(edge[:n]) > 0
+def covered(words: Words, doc: np.ndarray, first: np.ndarray, passages: np.ndarray, length: int) -> np.ndarray:
+    """Which words of all texts lie in the passages first .. first + passages - 1 of their text."""
+    edge = np.zeros(len(words.start) + 1, np.int64)
+    at = words.first[doc] + first
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + passages + length - 1, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 #: A text's digest row has a null anchor.
@@ -113,7 +109,7 @@ def seeds(docs: DataFrame, length: int, seed: int) -> DataFrame:
                         pa.concat_arrays([pa.array(first, pa.int32()), pa.nulls(texts.n, pa.int32())]),
                         pa.concat_arrays([pa.array(count, pa.int32()), pa.nulls(texts.n, pa.int32())]),
                         pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(np.diff(words.first), pa.int64())]),
-                        pa.concat_arrays([pa.nulls(m, pa.string()), pa.array(plain_hashes(words), pa.string())]),
+                        pa.concat_arrays([pa.nulls(m, pa.string()), pa.array(kept_hashes(words), pa.string())]),
                     ],
                     names=["doc_id", "row", "anchor", "context", "first", "passages", "n_words", "plain"],
                 )
@@ -129,7 +125,7 @@ def passage_hashes(texts: DataFrame, length: int) -> DataFrame:
             all_runs = batch.column(3)
             for part in slices(batch.column(1)):
                 words = part.words()
-                p = Prefix(words.hashes())
+                hashed = Runs(words.hashes())
                 runs = all_runs.slice(part.first, part.n)
                 counts = np.diff(np.asarray(runs.offsets))
                 flat = runs.flatten()
@@ -139,7 +135,7 @@ def passage_hashes(texts: DataFrame, length: int) -> DataFrame:
                 at = np.arange(len(row)) - np.repeat(np.cumsum(passages) - passages, passages) + first[row]
                 start = at + words.first[doc[row]]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(part.first, part.n).take(pa.array(doc[row])) for i in (0, 2)), pa.array(at, pa.int32()), pa.array(signed(p.of(start, start + length, 4))), pa.array(anchor[row], pa.int64())],
+                    [*(batch.column(i).slice(part.first, part.n).take(pa.array(doc[row])) for i in (0, 2)), pa.array(at, pa.int32()), pa.array(signed(hashed.of(start, length, 4))), pa.array(anchor[row], pa.int64())],
                     names=["doc_id", "row", "at", "passage", "anchor"],
                 )
 
@@ -147,23 +143,19 @@ def passage_hashes(texts: DataFrame, length: int) -> DataFrame:
 
 
 def removed(texts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, text, row, runs array<struct<first, passages>>) to doc_id, n_words, n_removed, kept_sha256, kept."""
+    """(doc_id, text, row, runs array<struct<first, passages>>) to doc_id, n_words, n_removed, kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(1)):
                 words = part.words()
                 runs = batch.column(3).slice(part.first, part.n)
-                bounds = np.asarray(runs.offsets) - np.asarray(runs.offsets)[0]
                 first, passages = (np.asarray(x).astype(np.int64) for x in runs.flatten().flatten())
-                n = np.diff(words.first)
-                gone, shas = [], []
-                for i in range(part.n):
-                    cover = spans(first[bounds[i] : bounds[i + 1]], passages[bounds[i] : bounds[i + 1]], length, int(n[i]))
-                    gone.append(int(cover.sum()))
-                    shas.append(kept_hash(words, i, ~cover))
+                doc = np.repeat(np.arange(part.n), np.diff(np.asarray(runs.offsets)))
+                gone = covered(words, doc, first, passages, length)
+                n, lost = np.diff(words.first), np.diff(np.r_[0, np.cumsum(gone)][words.first])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.first, part.n), pa.array(n.astype(np.int64)), pa.array(gone, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"]
+                    [batch.column(0).slice(part.first, part.n), pa.array(n.astype(np.int64)), pa.array(lost.astype(np.int64)), pa.array(kept_hashes(words, ~gone), pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"]
                 )
 
     return texts.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -192,7 +184,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str
     known = cut(known.select("doc_id", "row", "anchor", "first", "passages", "source", "contexts"), "known")
     same = known.where("source < doc_id").select("doc_id", "row", "first", "passages")
     open_runs = known.where("source = doc_id and contexts > 1").groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "first", "passages")).alias("runs"))
-    rows = passage_hashes(texts.join(open_runs, ["doc_id", "row"]).select("doc_id", "text", "row", "runs"), length)
+    open_runs = cut(open_runs, "open")
+    rows = passage_hashes(narrowed(texts, open_runs, "doc_id").join(open_runs, ["doc_id", "row"]).select("doc_id", "text", "row", "runs"), length)
     rows = cut(rows, "passages")
     sources = cut(rows.groupBy("anchor", "passage").agg(F.min("doc_id").alias("source"), F.count("*").alias("rows")).where("rows > 1"), "sources")
     single = lookup(rows, sources, ["anchor", "passage"], "rows", F.col("doc_id")).where("source < doc_id").select("doc_id", "row", F.col("at").alias("first"), F.lit(1).alias("passages"))
@@ -204,7 +197,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str =
     found, every = repeats(docs, length, seed, id_col, text_col)
     per_doc = cut(found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "passages")).alias("runs")), "repeats")
     texts = identified(docs, id_col, text_col)
-    changed = removed(texts.join(per_doc, ["doc_id", "row"]).select("doc_id", "text", "row", "runs"), length)
+    changed = removed(narrowed(texts, per_doc, "doc_id").join(per_doc, ["doc_id", "row"]).select("doc_id", "text", "row", "runs"), length)
     same = every.join(per_doc.select("doc_id", "row"), ["doc_id", "row"], "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("plain").alias("kept_sha256"))
     return same.unionAll(changed)
 

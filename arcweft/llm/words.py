@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,22 +16,6 @@ GAPS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 5  # odd, so it has an inverse modulo 2**64
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverse
-    if len(_powers) < n:
-        n = max(n, SLICE + 1)
-        for name, base in (("_powers", _BASE), ("_inverse", pow(_BASE, -1, 1 << 64))):
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            globals()[name] = np.multiply.accumulate(x)
-    return _powers, _inverse
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x + np.uint64((seed * 0x632BE59BD9B4E019 + 0x9E3779B97F4A7C15) % (1 << 64))
@@ -39,16 +24,57 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Prefix:
-    """Hashes of any runs [start, end) of a sequence of integers, from one pass of prefix sums."""
+def joined(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of pairs in their order."""
+    return mix(mix(a, 1) + b, seed)
 
-    def __init__(self, values: np.ndarray):
-        self.powers, self.inverse = _tables(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values.astype(np.uint64) * self.powers[: len(values)], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64), seed)
+#: Runs of more bytes are hashed one by one, by the library.
+LONG_RUN = 1024
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs [start, end) of bytes: every 8 bytes are mixed into what came before, in no linear way, so no
+    pattern of letters makes two runs collide. Runs of one size up to 8 bytes have different hashes for certain."""
+    size = end - start
+    h = mix(size.astype(np.uint64), 5)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, np.uint64, padded.data, strides=(1,))  # the 8 bytes from each byte on
+    live = np.flatnonzero((size > 0) & (size <= LONG_RUN)) if len(size) else np.zeros(0, np.int64)
+    at, left = start[live], size[live]
+    while len(live):
+        h[live] = mix(h[live] ^ (eight[at] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_RUN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+class Runs:
+    """Hashes of runs of a sequence of hashes, by doubling: a run is the two runs of a power of two that begin and end it."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+
+    def level(self, p: int) -> np.ndarray:
+        while len(self.levels) <= p:
+            low, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(joined(low[:-step], low[step:], 2) if len(low) > step else low[:0])
+        return self.levels[p]
+
+    def of(self, start: np.ndarray, length: np.ndarray | int, seed: int = 0) -> np.ndarray:
+        """Hashes of the runs of `length` (at least 1) values from each start."""
+        length = np.broadcast_to(np.asarray(length, np.int64), start.shape)
+        out = np.zeros(len(start), np.uint64)
+        power = np.frexp(length.astype(np.float64))[1] - 1
+        for p in np.unique(power).tolist():
+            at = np.flatnonzero(power == p)
+            low, first, size = self.level(p), start[at], length[at]
+            out[at] = joined(low[first] + size.astype(np.uint64), low[first + size - (1 << p)], seed)
+        return out
 
 
 class Texts:
@@ -82,7 +108,7 @@ class Words:
         self.doc = np.repeat(np.arange(texts.n), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        return Prefix(self.data.astype(np.uint64) + np.uint64(1)).of(self.start, self.end)
+        return byte_hashes(self.data, self.start, self.end)
 
 
 def slices(text: pa.Array, limit: int = SLICE) -> Iterator[Texts]:

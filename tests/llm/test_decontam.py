@@ -30,7 +30,7 @@ def brute(docs, items):
         w = words(t)
         for i, u in items:
             v = words(u)
-            if len(v) < 5 or not w:
+            if not v or not w:
                 continue
             k = int(0.2 * len(v) + 1e-9)
             need = Counter(v)
@@ -85,6 +85,51 @@ def test_against_brute_force(spark):
         decontam.BLOCK_BYTES = old
 
 
+def windows_found(item, near):
+    """Which of the windows of the item's size share a key with it, apart from what verification finds around them."""
+    items = decontam.prepare([1], [" ".join(item)])
+    found = []
+    for i, w in enumerate(near):
+        part = decontam.plain_words(next(iter(slices(pa.array([" ".join(w)])))))
+        found.append(any(len(s) for _, _, s in decontam.candidates(part, part.hashes(), items)))
+    return found
+
+
+def test_recall_of_single_windows():
+    """At the allowed distance, the only window is the text itself: edits at random, evenly spread, in front, behind, at both ends."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
+    for m in (5, 9, 10, 15, 25, 37, 44, 59, 64, 130):
+        item, k, near = [f"v{i}" for i in range(m)], int(0.2 * m + 1e-9), []
+        for way in range(75):
+            w = list(item)
+            if way % 5 == 0:
+                for x in rng.sample(range(m), k):
+                    w[x] = fresh(1)[0]
+            elif way % 5 == 1:
+                for j in range(k):
+                    w[(2 * j + 1) * m // (2 * k)] = fresh(1)[0]
+            elif way % 5 == 2:
+                w[:k] = fresh(k)
+            elif way % 5 == 3:
+                w[m - k :] = fresh(k)
+            else:
+                w[: k // 2], w[m - (k - k // 2) :] = fresh(k // 2), fresh(k - k // 2)
+            near.append(w)
+        assert sum(windows_found(item, near)) >= 0.98 * len(near), m
+
+
+def test_items_with_a_common_opening(monkeypatch):
+    """Thousands of items share their keys with each other and with every line: turns bound what is held at a time."""
+    monkeypatch.setattr(decontam, "SPAN", 1 << 12)
+    opening = "which of the following statements about the text above is right and why"
+    items = decontam.prepare(list(range(3000)), [f"{opening} n{i} m{i} of all" for i in range(3000)])
+    texts = next(iter(slices(pa.array([f"{opening} n{i} m{i} of all" for i in (5, 2999)] + [f"{opening} or not at all"] * 3))))
+    doc, item, start, edits = decontam.leaks_of(texts, items)
+    exact = {(d, i) for d, i, e in zip(doc.tolist(), item.tolist(), edits.tolist()) if e == 0}
+    assert exact == {(0, 5), (1, 2999)} and len(doc) >= 0.99 * 2 * 3000 and set(start.tolist()) == {0}
+
+
 def test_recall_of_samples_at_the_allowed_distance():
     rng = random.Random(9)
     hits = n = 0
@@ -129,7 +174,7 @@ def test_short_items_and_scripts_without_spaces(spark):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.edits, r.start_word) for r in decontam.op2_benchmark_decontamination(df, bench).collect()}
     assert got == {(1, 1): (0, 1), (3, 2): (0, 1), (5, 3): (3, 1), (7, 4): (0, 1), (9, 5): (0, 1), (10, 6): (1, 1), (12, 8): (0, 0)}
-    assert {r.doc_id for r in decontam.clean(df, bench, short=True).collect()} == {2, 4, 6, 8, 11}
+    assert {r.doc_id for r in decontam.clean(df, bench).collect()} == {2, 4, 6, 8, 11}
 
 
 def test_distances():

@@ -58,6 +58,24 @@ def check(spark, rows, size):
     return {(r.doc_id, r.n_shingles) for r in got}
 
 
+def mirrored(n, letters="ab"):
+    """The Thue-Morse word over two letters: it and its complement collide under any polynomial hash modulo 2**64."""
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+def test_bounds_follow_the_parameters():
+    assert neardup.needed(32, 80) == 3 and neardup.needed(16, 80) == 1 and neardup.needed(32, 60) == 1
+    assert 10 / 32 < neardup.least_share(32, 80) < 12 / 32 and neardup.least_share(32, 50) < 2 / 32
+
+
+def test_a_large_family_and_a_lower_similarity(spark):
+    """Half of all rows are one family: its pivots are in pairs with all of them."""
+    rng = random.Random(8)
+    rows = list(enumerate(family(rng, [f"v{rng.randrange(300)}" for _ in range(50)], 500, 3) + [" ".join(f"u{rng.randrange(9999)}" for _ in range(40)) for _ in range(500)]))
+    rng.shuffle(rows)
+    check(spark, rows, 2)
+
+
 def family(rng, base, n, edits):
     out = []
     for _ in range(n):
@@ -84,6 +102,8 @@ def test_families_common_passages_and_edge_cases(spark):
         i += 1
     rows += [(i, "x y z " * 3000), (i + 1, "x y z " * 2999), (8, "One Two"), (8, "One Two"), (9, "É è")]
     rng.shuffle(rows)
+    rows += [(30, "r s t u"), (31, "r s t u"), (31, "k l m n"), (32, "k l m n"), (33, "k l m"), (33, "g h")]  # ids with two texts
+    rows += [(20, mirrored(2048)), (21, mirrored(2048, "ba")), (22, mirrored(4096)), (23, " ".join(mirrored(1024))), (24, " ".join(mirrored(1024, "ba")))]
     counts = check(spark, rows, 2)
     assert {(1, 0), (4, 1), (6, 1), (i, 3)} <= counts
 

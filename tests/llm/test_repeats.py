@@ -49,6 +49,13 @@ def test_passages_in_common(spark):
     check(spark, rows, 10, 10)
 
 
+def test_words_that_collide_under_polynomial_hashes(spark):
+    mirrored = lambda letters: "".join(letters[i.bit_count() & 1] for i in range(2048))
+    tail = " ".join(f"t{i}" for i in range(49))
+    rows = [(1, f"{mirrored('ab')} {tail}"), (2, f"{mirrored('ba')} {tail}"), (3, f"{mirrored('ab')} {tail} more"), (4, " ".join(mirrored("ab"))), (5, " ".join(mirrored("ba")))]
+    check(spark, rows, 50, 15)
+
+
 def test_long_repetitive_text_and_empty_table(spark):
     check(spark, [(1, "x y z " * 4000), (2, "y z x " * 900 + "end"), (3, "q " * 60)], 50, 15)
     assert repeats.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
