@@ -10,8 +10,9 @@ distinct words of each slice of texts:
    symbols, until none is left. This is the order in which a BPE model merges; the highest total score (Viterbi), which
    fits unigram models, does not give a BPE model's encoding.
 
-The fold runs over all words of a slice at once, in arrays. Words over WIDE characters go to the model's library, exactly. Ids
-of words are then laid out along the texts. Decoding joins ids to piece bytes and drops the added first space.
+Where no edge crosses a boundary the word parts there, so long words of scripts without spaces fall into short parts. The fold
+runs over all parts of a slice at once, in arrays. Parts over WIDE characters, whose pieces overlap throughout (rows of one
+character), go to the model's library, exactly. Ids of words are then laid out along the texts. Decoding joins ids to piece bytes and drops the added first space.
 
 The model is a file whose path is a parameter; its bytes travel with the tasks (its size is checked). Nulls encode to null,
 empty texts to no ids. Repeated rows encode alike; extra columns pass through, but for those named like the results. Empty
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcweft.llm.words import Prefix, Texts, slices
+from arcweft.llm.words import Texts, byte_hashes, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Most bytes of a model that is sent to tasks; most characters of a word in the lattice (a mask has 64 bits).
@@ -53,7 +54,7 @@ class Model:
         flat = [t.encode() for t in text]
         data = np.frombuffer(b"".join(flat), np.uint8)
         end = np.cumsum([len(b) for b in flat])
-        hashes = byte_prefix(data).of(np.r_[0, end[:-1]], end)
+        hashes = byte_hashes(data, np.r_[0, end[:-1]], end)
         scores = np.array([sp.get_score(i) for i in normal])
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.ids = hashes[order], np.array(normal, np.int64)[order]
@@ -89,10 +90,6 @@ class Model:
         return out
 
 
-def byte_prefix(data: np.ndarray) -> Prefix:
-    return Prefix(data.astype(np.uint64) + np.uint64(1))
-
-
 @lru_cache(maxsize=2)
 def model_of(raw: bytes) -> Model:
     return Model(raw)
@@ -117,30 +114,43 @@ def encode_words(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndar
     word = np.repeat(np.arange(n), chars)
     place = np.arange(len(char)) - first[word]
     after = np.r_[char, len(flat)]
-    prefix = byte_prefix(flat)
-    wide = chars > WIDE
-    left = np.where(wide[word], 0, chars[word] - place)  # characters from here to the word's end
-    # explode and join
-    edge_word, edge_from, edge_to, edge_at = [], [], [], []
+    left = chars[word] - place  # characters from here to the word's end
+    # explode and join; edges from character to character
+    edge_from, edge_to, edge_at = [], [], []
     some = np.flatnonzero(left >= 2)
     for length in range(2, model.longest + 1):
         some = some[left[some] >= length]
         if not len(some):
             break
-        found = model.find(prefix.of(char[some], after[some + length]))
+        found = model.find(byte_hashes(flat, char[some], after[some + length]))
         hit = found >= 0
-        edge_word.append(word[some[hit]])
-        edge_from.append(place[some[hit]])
-        edge_to.append(place[some[hit]] + length)
+        edge_from.append(some[hit])
+        edge_to.append(some[hit] + length)
         edge_at.append(found[hit])
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    w, i, j, e = map(cat, (edge_word, edge_from, edge_to, edge_at))
+    i, j, e = map(cat, (edge_from, edge_to, edge_at))
+    # a boundary that no edge crosses parts a word: what lies on its two sides never merges
+    crossed = np.zeros(len(char) + 1, np.int64)
+    np.add.at(crossed, i + 1, 1)
+    np.add.at(crossed, j, -1)
+    head = np.cumsum(crossed)[:-1] <= 0
+    head[first] = True
+    part_first = np.flatnonzero(head)
+    part = np.cumsum(head) - 1
+    n_parts = len(part_first)
+    size_of = np.diff(np.r_[part_first, len(char)])
+    place = np.arange(len(char)) - part_first[part]
+    wide = size_of > WIDE
+    narrow = ~wide[part[i]]
+    i, j, e = i[narrow], j[narrow], e[narrow]
+    w = part[i]
+    i, j = place[i], j - part_first[w]
     order = np.lexsort((i, model.ranks[e], w))
     w, i, j, e = w[order], i[order], j[order], e[order]
     bit = lambda x: np.uint64(1) << x.astype(np.uint64)
     ends, between = bit(i) | bit(j), bit(j) - (bit(i) << np.uint64(1))
     # fold
-    mask = (bit(np.minimum(chars, WIDE) + 1)) - np.uint64(1)
+    mask = bit(np.minimum(size_of, WIDE) + 1) - np.uint64(1)
     live = np.arange(len(w))
     while len(live):
         m = mask[w[live]]
@@ -152,7 +162,7 @@ def encode_words(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndar
         best = ready[np.r_[True, w[ready][1:] != w[ready][:-1]]]
         mask[w[best]] &= ~between[best]
         # words that moved, and of their edges those whose ends are still boundaries and which are not applied yet
-        moved = np.zeros(n, bool)
+        moved = np.zeros(n_parts, bool)
         moved[w[best]] = True
         live = live[moved[w[live]]]
         m = mask[w[live]]
@@ -160,24 +170,23 @@ def encode_words(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndar
     # the symbols that are left: applied edges, single characters (a piece or bytes), and wide words
     m = mask[w]
     done = np.flatnonzero(((m & ends) == ends) & ((m & between) == 0))
-    alone = np.flatnonzero(~wide[word] & ((mask[word] >> place.astype(np.uint64)) & (mask[word] >> (place + 1).astype(np.uint64)) & np.uint64(1)).astype(bool))
-    piece = model.find(prefix.of(char[alone], after[alone + 1]))
+    alone = np.flatnonzero(~wide[part] & ((mask[part] >> place.astype(np.uint64)) & (mask[part] >> (place + 1).astype(np.uint64)) & np.uint64(1)).astype(bool))
+    piece = model.find(byte_hashes(flat, char[alone], after[alone + 1]))
     known = piece >= 0
     raw = alone[~known]
     raw_size = after[raw + 1] - char[raw]
-    raw_at = np.repeat(np.arange(len(raw)), raw_size)
     raw_byte = runs(char[raw], raw_size)
-    token_word = [w[done], word[alone[known]], word[raw][raw_at]]
-    token_key = [char[first[w[done]] + i[done]], char[alone[known]], raw_byte]
+    token_key = [char[part_first[w[done]] + i[done]], char[alone[known]], raw_byte]
     token_id = [model.ids[e[done]], model.ids[piece[known]], model.byte_ids[flat[raw_byte]]]
     for x in np.flatnonzero(wide).tolist():
-        ids = encode_wide(model, flat[at[x] : at[x] + size[x]].tobytes().decode("utf-8", "replace"))
-        token_word.append(np.full(len(ids), x))
-        token_key.append(np.arange(len(ids)))
+        lo, hi = char[part_first[x]], after[part_first[x] + size_of[x]]
+        ids = encode_wide(model, flat[lo:hi].tobytes().decode("utf-8", "replace"))
+        # a part has no more ids than bytes, so they stay in order before the next part's
+        token_key.append(lo + np.arange(len(ids)))
         token_id.append(np.array(ids, np.int64))
-    tw, tk, ti = map(np.concatenate, (token_word, token_key, token_id))
-    order = np.lexsort((tk, tw))
-    return ti[order], np.searchsorted(tw[order], np.arange(n + 1))
+    tk, ti = map(np.concatenate, (token_key, token_id))
+    order = np.argsort(tk, kind="stable")
+    return ti[order], np.searchsorted(tk[order], np.r_[at, len(flat)])
 
 
 def encode_wide(model: Model, word: str) -> list[int]:
@@ -206,7 +215,7 @@ def encode_texts(model: Model, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(cut)
     end = np.r_[start[1:], len(data)]
     doc = np.repeat(some, np.diff(np.r_[np.searchsorted(start, begin), len(start)]))
-    _, where, which = np.unique(byte_prefix(data).of(start, end), return_index=True, return_inverse=True)
+    _, where, which = np.unique(byte_hashes(data, start, end), return_index=True, return_inverse=True)
     ids, bounds = encode_words(model, data, start[where], end[where])
     lengths = np.diff(bounds)[which]
     out = ids[runs(bounds[which], lengths)]

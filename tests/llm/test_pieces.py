@@ -8,7 +8,7 @@ import sentencepiece
 from arcweft.llm import pieces
 from arcweft.llm.words import slices
 
-ODD = ["", " ", "  ", "   hello   world  ", "\n", "a\n\n b\tc\r\n", "é à ß ñ", "日本語 テスト", "\U0001d6fc ½ ﬁ  x", "<s> </s> <unk> <0x0A>", "x" * 500, " " * 200, "ab " * 300 + "y" * 90, "▁under", "THE!! QUICK%%% 12345 67.89", "don't", "é", "\U0001f600" * 80, "a" + " " * 70 + "b", "\n" + "q" * 80]
+ODD = ["", " ", "  ", "   hello   world  ", "\n", "a\n\n b\tc\r\n", "é à ß ñ", "日本語 テスト", "\U0001d6fc ½ ﬁ  x", "<s> </s> <unk> <0x0A>", "x" * 500, " " * 200, "ab " * 300 + "y" * 90, "▁under", "THE!! QUICK%%% 12345 67.89", "don't", "é", "\U0001f600" * 80, "日本語のテスト文章です。" * 30, "ab" * 100 + "ба" * 90 + "x1" * 70, *("".join(p[i.bit_count() & 1] for i in range(2048)) for p in ("ab", "ba")), "a" + " " * 70 + "b", "\n" + "q" * 80]
 
 
 def test_ids_equal_the_library_s(spark):
