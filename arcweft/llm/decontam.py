@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcweft.llm.words import Texts, Words, joined, mix, slices
+from arcweft.llm.words import Texts, Words, mix, slices
 from arcweft.shared import cut
 
 EDITS = 0.2
@@ -50,6 +50,8 @@ WALKS, SAMPLES, PLACES = 6, 12, 3
 #: Least words of the length classes, and the most words of an item that is embedded whole.
 CLASSES, LONGEST, PART = (1, 2, 3, 5, 6, 8, 11, 15, 20, 26, 34, 45), 64, 48
 BLOCK_BYTES = 16 << 20
+#: Bits of the bitmap of word pairs.
+PAIR_BITS = 22
 #: Bytes of text, candidates (and words of spans of windows) and cells of the bands of windows worked on at a time.
 SLICE, SPAN, CELLS = 1 << 20, 1 << 19, 1 << 18
 
@@ -109,6 +111,7 @@ class Items:
     tables: list[Tables]
     pairs: np.ndarray  # hashes of (item, word pair), sorted
     any_pairs: np.ndarray  # hashes of word pairs, sorted
+    maybe: np.ndarray  # a bitmap of their first bits
 
 
 def allowed(m: np.ndarray) -> np.ndarray:
@@ -120,6 +123,9 @@ def pair_keys(item: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarr
     return mix(mix(mix(item.astype(np.uint64)) ^ left, 1) ^ right, 2)
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
 def walk(symbols: np.ndarray, bits: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, way: int, steps: int) -> list[np.ndarray]:
     """The words that a random walk from each place meets, `way` 1 or -1; 0 beyond [low, high)."""
     out, at = [], at.copy()
@@ -146,13 +152,19 @@ def walk_bits(symbols: np.ndarray, w: int) -> np.ndarray:
 
 
 def sample_keys(low: int, w: int, way: int, places: tuple[tuple[int, ...], ...], steps: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Words are hashes already, so sums of odd multiples of them will do."""
     for s, sample in enumerate(places):
         key = np.full(len(steps[0]), ((low * 64 + w) * 4 + way + 1) * 64 + s, np.uint64)
         for place in sample:
-            key = mix(key, 3) ^ steps[place]
+            key = key * _ODD + steps[place]
         yield mix(key, 4)
 
 
+def neighbours(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of two words that stand side by side."""
+    return left * _ODD + right
+
+
 def parts_of(m: int) -> list[tuple[int, int]]:
     """(offset, size) of the parts of an item of m words."""
     n = 1 if m <= LONGEST else -(-m // PART)
@@ -187,7 +199,10 @@ def prepare(ids: list, texts: list[str]) -> Items:
     row = np.repeat(np.arange(len(m)), m)
     at = np.flatnonzero(row[1:] == row[:-1])
     pairs = np.unique(pair_keys(row[at], symbols[at], symbols[at + 1]))
-    return Items(np.array(ids, dtype=object), symbols, first, tables, pairs, np.unique(joined(symbols[at], symbols[at + 1])))
+    any_pairs = np.unique(neighbours(symbols[at], symbols[at + 1]))
+    maybe = np.zeros(1 << PAIR_BITS, bool)
+    maybe[(any_pairs >> np.uint64(64 - PAIR_BITS)).astype(np.int64)] = True
+    return Items(np.array(ids, dtype=object), symbols, first, tables, pairs, any_pairs, maybe)
 
 
 @lru_cache(maxsize=2)
@@ -209,25 +224,31 @@ def ramp(counts: np.ndarray) -> np.ndarray:
 def candidates(words: Words, symbols: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(place, item, start), in turns: windows that share a key with an item; place is a word of the window's text."""
     n = len(symbols)
-    pair = np.flatnonzero(words.doc[1:] == words.doc[:-1])
+    key = neighbours(symbols[:-1], symbols[1:])
+    pair = np.flatnonzero(items.maybe[(key >> np.uint64(64 - PAIR_BITS)).astype(np.int64)]) if n else key.astype(np.int64)
+    pair = pair[words.doc[pair + 1] == words.doc[pair]]
     there = np.zeros(n, np.int32)
-    there[pair[among(joined(symbols[pair], symbols[pair + 1]), items.any_pairs)]] = 1
+    there[pair[among(key[pair], items.any_pairs)]] = 1
     most = max((int(t.sizes.max()) for t in items.tables), default=1)
     sums = np.concatenate([[0], np.cumsum(there)]).astype(np.int32)
     before, after = np.concatenate([np.full(most, 0, np.int32), sums]), np.concatenate([sums, np.full(most, sums[-1], np.int32)])
-    every = np.arange(n)
     low, high = words.first[words.doc], words.first[words.doc + 1]
     bits = [walk_bits(symbols, w) for w in range(WALKS)]
     for t in items.tables:
-        starts, ends = np.zeros(n, bool), np.zeros(n, bool)
-        for size in t.sizes.tolist():
-            need = size - 1 - 2 * int(EDITS * size + 1e-9)
-            starts |= after[size - 1 : size - 1 + n] - sums[:n] >= need
-            ends |= sums[:n] - before[most + 1 - size : most + 1 - size + n] >= need
+        # the least need over the widest window first, then size by size where that is met
+        needs = [(size, size - 1 - 2 * int(EDITS * size + 1e-9)) for size in t.sizes.tolist()]
+        widest, least = needs[-1][0], min(need for _, need in needs)
+        starts = np.flatnonzero(after[widest - 1 : widest - 1 + n] - sums[:n] >= least)
+        ends = np.flatnonzero(sums[:n] - before[most + 1 - widest : most + 1 - widest + n] >= least)
+        from_here, to_here = np.zeros(len(starts), bool), np.zeros(len(ends), bool)
+        for size, need in needs:
+            from_here |= after[starts + size - 1] - sums[starts] >= need
+            to_here |= sums[ends] - before[ends + most + 1 - size] >= need
+        starts, ends = starts[from_here], ends[to_here]
         found = [[np.zeros(0, np.int64)] for _ in range(2)]
         held = 0
         for w, way, places in samples(t.low):
-            at = every[starts if way > 0 else ends]
+            at = starts if way > 0 else ends
             for lo in range(0, len(at), 1 << 16):
                 p = at[lo : lo + (1 << 16)]
                 steps = walk(symbols, bits[w], p, low[p], high[p], way, t.low)
