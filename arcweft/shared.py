@@ -64,22 +64,27 @@ def _dealt(rows: DataFrame, table: DataFrame, heavy: DataFrame, on: list[str], s
     return joined.select(*rows.columns, *picked)
 
 
-#: Bits of the bitmap that `narrowed` broadcasts: 4 MB, whatever the input.
+#: Bits of the bitmap that `marked` broadcasts: 4 MB, whatever the input.
 BITS = 1 << 25
 
 
-def narrowed(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """rows without most of those whose key is not in ids, ahead of a shuffle join that removes the rest.
+def marked(rows: DataFrame, ids: DataFrame, on: str, name: str = "maybe") -> DataFrame:
+    """rows with a boolean `name`: false only where the key is not in ids, true for all of theirs and for a few others.
 
     The ids' hashes set bits of one bitmap of fixed size, which is broadcast in pieces of 4 KB; the more ids there are, the
-    less it drops, but it never drops a row of theirs."""
+    more often it is true for others."""
     hashed = lambda: F.pmod(F.xxhash64(on), F.lit(BITS)) + 1
     pieces = ids.select(hashed().alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
     rows_h = rows.withColumn("_h", hashed()).withColumn("_piece", F.bitmap_bucket_number("_h"))
     at = F.bitmap_bit_position("_h")
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     is_set = F.pmod(F.floor(byte / F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (F.pmod(at, F.lit(8)) + 1).cast("int"))), F.lit(2)) == 1
-    return rows_h.join(F.broadcast(pieces), "_piece").where(is_set).select(*rows.columns)
+    return rows_h.join(F.broadcast(pieces), "_piece", "left").select(*rows.columns, F.coalesce(is_set, F.lit(False)).alias(name))
+
+
+def narrowed(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """rows without most of those whose key is not in ids, ahead of a shuffle join that removes the rest; no row of theirs goes."""
+    return marked(rows, ids, on, "_maybe").where("_maybe").drop("_maybe")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
