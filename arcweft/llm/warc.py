@@ -1,18 +1,19 @@
 """WARC archives under Zstandard: a writer and a validating reader.
 
 Layout of a file: one skippable frame (magic 0x184D2A5D) that holds the dictionary, then one frame per record, each followed
-by an empty skippable frame, which decoders ignore. Every partition makes one file with a dictionary trained on a bounded
-sample of its own records. Files are written by Spark's text sink, so they reach any file system that Spark can write, and
-a lost task leaves nothing behind.
+by an empty skippable frame, which decoders ignore. A partition makes files of about ARCHIVE_BYTES (one longer record may pass
+that), each with a dictionary trained on a bounded sample of its own records. Files are written by Spark's text sink, so they
+reach any file system that Spark can write, and a lost task leaves nothing behind.
 
-The reader loads whole files (the writer bounds them by the size of its partitions), takes the dictionary from the leading
-frame, decodes one frame per record, and validates: version line, required headers, Content-Length against the block,
+The reader loads whole files, which are bounded, takes the dictionary from the leading frame, decodes one frame per record (frame
+by frame, so any bytes may stand in a payload), and validates: version line, required headers, Content-Length against the block,
 payload digests, and that nothing is left over. A fault raises with the file and the record's number.
 
 Pages with equal payloads (equal SHA-1 and length) share one stored payload: the largest page id is the response, others
-are revisit records that refer to it. Payloads under `min_revisit_bytes` are always responses. Null html is an empty
+are revisit records that refer to it. Only ids, addresses and digests are shuffled to find them; payloads stay where they are read, but
+for the few that a bitmap of the revisits' ids takes for one. Payloads under `min_revisit_bytes` are always responses. Null html is an empty
 payload, a null url gets a urn, a null page id is always a response and sorts below all others. Repeated rows of the largest id
-are responses each. Empty table: no rows. Extra columns are ignored.
+are responses each (with one record id). Empty table: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweft.shared import cut, fresh_path, lookup
+from arcweft.shared import cut, fresh_path, lookup, marked, narrowed
 
 #: Magic numbers of the dictionary's frame and of other skippable frames, little-endian.
 DICTIONARY_MAGIC = struct.pack("<I", 0x184D2A5D)
@@ -38,6 +39,8 @@ EMPTY_FRAME = struct.pack("<II", 0x184D2A50, 0)
 #: Records and bytes of a partition that its dictionary is trained on, and the dictionary's size.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 200, 1 << 20, 1 << 14
 LEVEL = 3
+#: Bytes of frames after which a new archive begins.
+ARCHIVE_BYTES = 32 << 20
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -53,11 +56,12 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"urn:page:{'null' if page_id is None else page_id}:{digest}"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC record. A revisit keeps the digest and the length of the payload, not the payload."""
-    digest = base32(hashlib.sha1(payload).digest())
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: str | None = None, length: int | None = None) -> bytes:
+    """One WARC record. A revisit keeps the digest and the length of the payload (given, or the payload's), not the payload."""
+    digest = digest or base32(hashlib.sha1(payload).digest())
+    length = len(payload) if length is None else length
     target = url.replace("\r", "%0D").replace("\n", "%0A") if url else f"urn:page:{page_id}"
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
     block = http if refers_to is not None else http + payload
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
@@ -83,56 +87,61 @@ def dictionary_frame(samples: list[bytes]) -> tuple[bytes, zstandard.ZstdCompres
     return DICTIONARY_MAGIC + struct.pack("<I", len(raw)) + raw, trained
 
 
-def frames_of(records: Iterator[bytes]) -> Iterator[bytes]:
-    """The dictionary's frame, then a frame per record."""
-    first, held = [], 0
-    for r in records:
-        first.append(r)
-        held += len(r)
-        if len(first) >= SAMPLE_RECORDS or held >= SAMPLE_BYTES:
-            break
-    if not first:
-        return
-    lead, trained = dictionary_frame([r[:16384] for r in first])
-    yield lead
-    options = {"dict_data": trained} if trained else {}
-    make = [zstandard.ZstdCompressor(level=x, write_content_size=True, write_checksum=True, **options) for x in (LEVEL, 1, 2, 4, 5)]
-
-    def frame(r: bytes) -> bytes:
-        for c in make:
-            if EMPTY_FRAME not in (out := c.compress(r)):
-                return out
-        raise WarcError("no level keeps the frame free of the line mark")
-
-    for r in first:
-        yield frame(r)
+def archives(records: Iterator[bytes], most: int | None = None) -> Iterator[bytes]:
+    """Whole archives: the dictionary's frame, then a frame per record and an empty frame after each."""
+    held: list[bytes] = []
+    size = 0
+    compress = None
+    out: list[bytes] = []
+
+    def begin() -> None:
+        nonlocal compress
+        lead, trained = dictionary_frame([r[:16384] for r in held])
+        compress = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, write_checksum=True, **({"dict_data": trained} if trained else {})).compress
+        out.append(lead)
+        for r in held:
+            out.extend((EMPTY_FRAME, compress(r)))
+
     for r in records:
-        yield frame(r)
+        if compress is None:
+            held.append(r)
+            size += len(r)
+            if len(held) < SAMPLE_RECORDS and size < SAMPLE_BYTES:
+                continue
+            begin()
+            size = sum(map(len, out))
+        else:
+            out.extend((EMPTY_FRAME, compress(r)))
+            size += len(out[-1]) + len(EMPTY_FRAME)
+        if size >= (most or ARCHIVE_BYTES):
+            yield b"".join(out)
+            held, size, compress, out = [], 0, None, []
+    if compress is None and held:
+        begin()
+    if out:
+        yield b"".join(out)
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """(page_id, url, html, refers_to) to archives in a folder."""
+    """(page_id, url, html, refers_to[, sha1, bytes]) to archives in a folder; revisits may come without html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
             for batch in batches:
-                for page_id, url, html, refers_to in zip(*(c.to_pylist() if not pa.types.is_binary(c.type) else c for c in batch.columns), strict=True):
-                    yield record(page_id, url, html.as_py() or b"", refers_to)
+                page, url, html, refers, sha1, length = batch.columns
+                for i, u, h, to, s, n in zip(page.to_pylist(), url.to_pylist(), html, refers.to_pylist(), sha1.to_pylist(), length.to_pylist(), strict=True):
+                    given = to is not None and s is not None
+                    yield record(i, u, h.as_py() or b"", to, base32(bytes.fromhex(s)) if given else None, n if given else None)
 
-        some, size = [], 0
-        for f in frames_of(records()):
-            some.append(f)
-            size += len(f)
-            if size >= 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], names=["frame"])
-                some, size = [], 0
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], names=["frame"])
+        for archive in archives(records()):
+            yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], names=["archive"])
 
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string").cast("binary"), F.col("refers_to").cast("long"))
-    frames = rows.mapInArrow(run, "frame binary")
-    # the sink copies bytes as they are; its line mark is an empty frame
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME.decode("latin-1")).text(path)
+    have = pages.columns
+    more = [F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in (("sha1", "string"), ("bytes", "long"))]
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string").cast("binary"), F.col("refers_to").cast("long"), *more)
+    # the sink copies bytes as they are; a row is an archive and a file, its line mark an empty frame
+    files = rows.mapInArrow(run, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    files.write.option("lineSep", EMPTY_FRAME.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_file(data: bytes, name: str = "") -> Iterator[tuple[dict[str, str], bytes]]:
@@ -247,13 +256,25 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 
 def with_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, refers_to: null for responses."""
+    """page_id, url, html, refers_to (null for responses), sha1, bytes; revisits come without html."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("sha1"), F.octet_length(payload).alias("bytes"))
-    groups = pages.where((F.col("bytes") >= min_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("sha1", "bytes").agg(F.max("page_id").alias("leader"), F.count("*").alias("rows"))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
+    digest = [F.sha1(F.col("html").cast("binary")).alias("sha1"), F.octet_length("html").cast("long").alias("bytes")]
+    key = ["page_id", "sha1", "bytes"]
+    slim = cut(pages.select("page_id", "url", *digest).where((F.col("bytes") >= min_revisit_bytes) & F.col("page_id").isNotNull()), "digests")
+    groups = slim.groupBy("sha1", "bytes").agg(F.max("page_id").alias("leader"), F.count("*").alias("rows"))
     groups = cut(groups.where("rows > 1"), "copies")
-    out = lookup(pages, groups, ["sha1", "bytes"], "rows", F.struct("page_id", "url"))
-    return out.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("leader"), F.col("leader")).alias("refers_to"))
+    revisits = lookup(slim, groups, ["sha1", "bytes"], "rows", F.struct("page_id", "url")).where("page_id < leader")
+    revisits = cut(revisits.select("page_id", "url", F.lit(None).cast("string").alias("html"), F.col("leader").alias("refers_to"), "sha1", "bytes"), "revisits")
+    # pages whose id is no revisit's by the bitmap are responses where they are read
+    rows = marked(pages.withColumn("bytes", F.octet_length("html").cast("long")), revisits, "page_id")
+    asked = F.col("maybe") & F.col("page_id").isNotNull() & (F.col("bytes") >= min_revisit_bytes)
+    # the others that are none after all (another page's bit, or another payload under the same id)
+    wrong = cut(marked(slim, revisits, "page_id").where("maybe").join(revisits.select(*key), key, "left_anti").select(*key).distinct(), "wrong")
+    rest = narrowed(rows.where(asked).select("page_id", "url", "html"), wrong, "page_id").select("page_id", "url", "html", *digest).join(wrong, key, "left_semi")
+    nothing = [F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("sha1"), F.lit(None).cast("long").alias("bytes")]
+    responses = rows.where(~asked).select("page_id", "url", "html").unionAll(rest.select("page_id", "url", "html"))
+    return responses.select("page_id", "url", "html", *nothing).unionAll(revisits)
 
 
 def op4_warc(pages: DataFrame) -> DataFrame:
