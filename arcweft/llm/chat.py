@@ -10,9 +10,14 @@ array<struct<role, text>>. A template then writes the turns as one string:
 those that use [INST] or </s>), and reading back undoes it exactly. The loss mask is a list of (start, length) in code
 points of the formatted string, one for each assistant text.
 
-Nulls: null text or role counts as empty; a null id is an id of its own. A record that fills no known layout raises with
-its paths' hash. Empty table: no rows. Rows that tie in `turn` are ordered by role and text; repeated rows are repeated turns.
-Extra columns are ignored. A conversation is the unit of output, so its turns meet in one row however long it is.
+A record is read by the first layout all of whose paths it fills (lists first, then layouts of more fields); if there is none, by
+the first of which it fills some (lists first, then layouts of fewer fields), the rest counting as empty. Other fields and columns, also those that belong to another layout, are
+ignored.
+
+Nulls: null text or role counts as empty; a record that fills no known path has no layout (null) and no turns. Rows without an id
+belong to no conversation: each different one is a conversation of its own, with a null id. Empty table: no rows. Rows that tie
+in `turn` are ordered by role and text; repeated rows are repeated turns. A conversation is the unit of output, so its turns
+meet in one row however long it is.
 """
 
 from __future__ import annotations
@@ -72,6 +77,7 @@ LAYOUTS = (
 
 
 def paths_of(kind: T.DataType, at: str) -> list[str]:
+    """The field paths of a schema; arrays are marked []."""
     if isinstance(kind, T.ArrayType):
         return paths_of(kind.elementType, f"{at}[]")
     if isinstance(kind, T.StructType):
@@ -83,25 +89,30 @@ def digest(paths: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(paths), "\n"), 256)
 
 
-def fingerprint(df: DataFrame) -> Column:
-    """Of each record: the hash of the sorted nested field paths, of those known to LAYOUTS, that it fills."""
-    known = {p.split("[")[0].split(".")[0] for layout in LAYOUTS for p in layout.paths}
-    filled = [F.when(F.col(f"`{f.name}`").isNotNull(), F.array(*map(F.lit, paths_of(f.dataType, f.name)))) for f in df.schema.fields if f.name in known]
-    if not filled:
-        return digest(F.array().cast("array<string>"))
-    return digest(F.flatten(F.filter(F.array(*filled), lambda x: x.isNotNull())))
+def fills(path: str) -> Column:
+    """Whether a record holds a value at a known path: a column, or a field of a list's elements."""
+    column, _, field = path.partition("[].")
+    return F.coalesce(F.exists(F.col(column), lambda x: x[field].isNotNull()) if field else F.col(column).isNotNull(), F.lit(False))
 
 
 def canonical(df: DataFrame, keep: list[str]) -> DataFrame:
-    """keep + fingerprint, layout, turns."""
-    df = df.withColumn("fingerprint", fingerprint(df))
+    """keep + fingerprint (of the paths of a layout that the record fills), layout, turns."""
     have = {p for f in df.schema.fields for p in paths_of(f.dataType, f.name)}
-    name, turns = F.lit(None).cast("string"), F.raise_error(F.concat(F.lit("no layout for fingerprint "), F.col("fingerprint"))).cast(TURNS)
-    for layout in LAYOUTS:
-        if set(layout.paths) <= have:
-            is_it = F.col("fingerprint") == digest(F.array(*map(F.lit, layout.paths)))
-            name, turns = F.when(is_it, F.lit(layout.name)).otherwise(name), F.when(is_it, layout.turns().cast(TURNS)).otherwise(turns)
-    return df.select(*keep, "fingerprint", name.alias("layout"), turns.alias("turns"))
+    layouts = sorted((x for x in LAYOUTS if set(x.paths) <= have), key=lambda x: ("[]" not in x.paths[0], -len(x.paths)))
+    known = sorted({p for x in layouts for p in x.paths})
+    filled = F.filter(F.array(*(F.when(fills(p), F.lit(p)) for p in known)), lambda p: p.isNotNull()) if known else F.array().cast("array<string>")
+    df = df.select(*keep, *(c for c in dict.fromkeys(p.split("[")[0] for p in known) if c not in keep), filled.alias("_filled"))
+    prints = [digest(F.array_intersect("_filled", F.array(*map(F.lit, x.paths)))) for x in layouts]
+    df = df.withColumn("_prints", F.array(*prints) if prints else F.array().cast("array<string>"))
+    whole = [F.get("_prints", F.lit(i)) == digest(F.array(*map(F.lit, x.paths))) for i, x in enumerate(layouts)]
+    some = [F.get("_prints", F.lit(i)) != digest(F.array().cast("array<string>")) for i in range(len(layouts))]
+    few = sorted(range(len(layouts)), key=lambda i: ("[]" not in layouts[i].paths[0], len(layouts[i].paths)))
+    which = F.coalesce(*(F.when(test, F.lit(i)) for i, test in enumerate(whole)), *(F.when(some[i], F.lit(i)) for i in few), F.lit(-1))
+    df = df.withColumn("_which", which)
+    turns, name = F.when(F.col("_which") < 0, F.array().cast(TURNS)), F.lit(None).cast("string")
+    for i, layout in enumerate(layouts):
+        turns, name = turns.when(F.col("_which") == i, layout.turns().cast(TURNS)), F.when(F.col("_which") == i, layout.name).otherwise(name)
+    return df.select(*keep, F.coalesce(F.get("_prints", F.col("_which")), digest(F.array().cast("array<string>"))).alias("fingerprint"), name.alias("layout"), F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
 
 
 def escaped(c: Column) -> Column:
@@ -144,7 +155,9 @@ def read_back(df: DataFrame) -> DataFrame:
 def conversations(rows: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as one record per conversation in the `messages` layout."""
     one = F.struct("turn", empty(F.col("role")).alias("role"), empty(F.col("text")).alias("content"))
-    return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("m")).select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+    # rows without an id are told apart by what they say, so that they meet in no one task
+    own = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    return rows.groupBy("conv_id", own.alias("_own")).agg(F.array_sort(F.collect_list(one)).alias("m")).select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
 
 
 def op8_chat_formatting(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -177,5 +190,5 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(er) + length(et) + 17) AS BIGINT) AS formatted_chars,
   sha256(CASE WHEN any_value(layout) = 'messages' THEN 'messages[].content' || chr(10) || 'messages[].role' ELSE 'completion' || chr(10) || 'prompt' END) AS fingerprint,
   any_value(layout) AS layout
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN hash(turn, role, text) END
 """

@@ -31,11 +31,25 @@ def test_balance_with_hot_and_long_texts(spark):
     sizes = [sum(r.size for r in p) for p in by.values()]
     mean = sum(sizes) / 16
     assert len(by) == 16 and max(sizes) - mean < 3000 + mean * 16 / 256 * 2 and mean - min(sizes) < 3000 + mean * 16 / 256 * 2
-    # equal texts share a shard, but for the hot ones and those at a cut
+    # equal texts share a shard, but for those over a fiftieth of its share
     where = {}
     for r in got:
         where.setdefault(r.text_crc32, set()).add(r.shard)
-    assert sum(len(w) > 1 for w in where.values()) <= 2 + 15
+    assert sum(len(w) > 1 for w in where.values()) == 1 and len(where[zlib.crc32(hot.encode())]) > 1
+
+
+def test_small_groups_never_part(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(20, 60))) for _ in range(4000)]
+    rows = [(5 * i + j, t) for i, t in enumerate(texts) for j in range(5)] + [(30_000 + i, "") for i in range(3000)]
+    got = shards.assign(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = check(rows, got, 16)
+    where = {}
+    for r in got:
+        where.setdefault(r.text_crc32, set()).add(r.shard)
+    assert len(where) == 4001 and all(len(w) == 1 for w in where.values())
+    sizes = [sum(r.size for r in p) for p in by.values()]
+    assert max(sizes) < 1.03 * min(sizes)
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "a"), (1, "a"), (2, "b")]])
