@@ -6,13 +6,16 @@
 3. For each block of queries and bucket the bound becomes a local cosine threshold: bound / (|q| * longest in the bucket).
    Over 1 the bucket is skipped. High thresholds prune by coordinates: on the query's largest coordinates a vector must
    lie in the interval that the threshold leaves. Others prune by length: only vectors of at least bound / |q|.
-4. Products of the survivors are verified in integers, and each query keeps its k best of a block; bounds rise on the way.
-5. The best of all blocks are merged per query.
+4. Products of the survivors are verified in integers, and each query keeps its k best of a block.
+5. The best of all blocks are merged per query by rank; each task passes on its k best of a query only, in a sorted stream.
 
 Components are floor(scale * x), x as double. Vectors that are null, or hold a null or non-finite component, take no part;
 vectors of different sizes are extended by zeros. A row is no candidate for the query of its own id; repeated rows are
 candidates each, and repeated query ids are one query (the smallest vector). Null ids take no part. Empty table: no rows.
-Scores that pass 64 bits raise. Extra columns are ignored.
+Components and scores that pass 64 bits raise. Extra columns are ignored.
+
+Every query block meets every vector block whose length can matter; where lengths are alike (normalised vectors) that is all of
+them, and a vector is copied once per QUERIES queries. That is the cost of exact answers by this method.
 """
 
 from __future__ import annotations
@@ -21,17 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcweft.shared import cut
 
 #: Vectors in a block, queries in a block, coordinates that prune, and the threshold from which they do.
-BLOCK, QUERIES, FOCUS, STEEP = 8192, 512, 3, 0.6
+BLOCK, QUERIES, FOCUS, STEEP = 8192, 2048, 3, 0.6
 #: Most rows of the sample that sets the buckets' bounds, and most buckets.
 SAMPLE, BUCKETS = 100_000, 4096
-#: Tasks that pair vector blocks with query blocks.
-LINKS = 64
+#: Vectors whose products with every query give the first bounds.
+SEED = 2048
+#: Least and most tasks that pair vector blocks with query blocks, and vector blocks for each.
+LINKS, MOST_LINKS, LINKED = 64, 4096, 64
 
 
 def vectors(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -39,7 +44,8 @@ def vectors(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFram
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     df = df.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.forall("x", finite))
-    df = df.select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
+    whole = lambda c: F.when(F.abs(c * scale) < 2.0**63, F.floor(c * scale).cast("long")).otherwise(F.raise_error(F.lit("a component does not fit 64 bits")).cast("long"))
+    df = df.select("vec_id", F.transform("x", whole).alias("v"))
     return df.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c))
 
 
@@ -141,8 +147,8 @@ def top_k(df: DataFrame, queries: DataFrame, k: int, scale: int = 64, id_col: st
     n_queries = asked.count()
     groups = max(1, -(-n_queries // QUERIES))
     asked = cut(asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")), "queries")
-    # the seed block: the BLOCK longest vectors, a number that does not grow
-    seed = blocks.orderBy(F.desc("norm2"), "vec_id").limit(BLOCK // 4)
+    # the seed block: the SEED longest vectors, a number that does not grow
+    seed = blocks.orderBy(F.desc("norm2"), "vec_id").limit(SEED)
 
     def seeded(keys: tuple, qs: pa.Table, ps: pa.Table) -> pa.Table:
         ids, p = ps.column("vec_id").to_numpy(), matrix(ps.column("v").combine_chunks(), width)
@@ -159,9 +165,10 @@ def top_k(df: DataFrame, queries: DataFrame, k: int, scale: int = 64, id_col: st
     shapes = blocks.groupBy("bucket", "part").agg(F.max("norm2").alias("longest"))
     needs = asked.withColumn("size", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c)))
     needs = needs.groupBy("group").agg(F.min(F.when(F.col("size") > 0, F.col("bound") / F.col("size")).otherwise(F.lit(float("-inf")))).alias("least"))
-    # vector blocks are dealt to LINKS tasks, each of which sees the bounds of all query blocks
-    needs = needs.withColumn("link", F.explode(F.sequence(F.lit(0), F.lit(LINKS - 1))))
-    work = shapes.withColumn("link", F.pmod(F.xxhash64("bucket", "part"), F.lit(LINKS)).cast("int")).join(needs, "link").where("least <= 0 or sqrt(longest) * (1 + 1e-9) >= least").select("bucket", "part", "group")
+    # vector blocks are dealt to tasks, each of which sees the bounds of all query blocks
+    links = max(LINKS, min(MOST_LINKS, n // BLOCK // LINKED))
+    needs = needs.withColumn("link", F.explode(F.sequence(F.lit(0), F.lit(links - 1))))
+    work = shapes.withColumn("link", F.pmod(F.xxhash64("bucket", "part"), F.lit(links)).cast("int")).join(needs, "link").where("least <= 0 or sqrt(longest) * (1 + 1e-9) >= least").select("bucket", "part", "group")
     work = cut(work, "work")
     left = asked.join(work, "group").select("group", "bucket", "part", "vec_id", "v", "bound")
     right = blocks.join(work, ["bucket", "part"]).select("group", "bucket", "part", "vec_id", "v")
@@ -173,9 +180,9 @@ def top_k(df: DataFrame, queries: DataFrame, k: int, scale: int = 64, id_col: st
 
     key = ["group", "bucket", "part"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(searched, FOUND)
-    ranked = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best"))
-    ranked = ranked.select("query_id", F.posexplode("best").alias("rank", "hit"))
-    return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
+    # the rank limit is applied before the shuffle too, so no buffer holds more than a sorted run
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_exact_top_k(df: DataFrame) -> DataFrame:

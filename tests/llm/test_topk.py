@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from arcweft.llm import topk
@@ -37,3 +38,25 @@ def test_empty_and_few(spark):
     assert topk.op1_exact_top_k(df).count() == 0
     df = spark.createDataFrame([(0, [1.0]), (1, [0.5]), (2, [-0.5])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk.op1_exact_top_k(df).collect())) == [(0, 1, 1, 2048), (0, 2, 2, -2048)]
+
+
+def test_a_component_beyond_64_bits_raises(spark):
+    df = spark.createDataFrame([(0, [1e19]), (1, [0.5])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.op1_exact_top_k(df).collect()
+    df = spark.createDataFrame([(0, [2.0**50]), (1, [-(2.0**50)])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.op1_exact_top_k(df).collect()
+
+
+def test_alike_lengths_and_many_ties(spark, monkeypatch):
+    """Normalised vectors, a third of them equal: no bucket, task or buffer holds a query's hits of all blocks."""
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(topk, "SEED", 16)
+    rng = random.Random(5)
+    rows = [(i, [1.0, 0.0, 0.0, 0.0] if i % 3 == 0 else [rng.choice([-1, 1]) / 2 for _ in range(4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert set(map(tuple, topk.top_k(df, df.where("vec_id % 20 = 0"), 20).collect())) == brute(rows, 20, 20)
+    plan = topk.top_k(df, df.where("vec_id % 20 = 0"), 20)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
