@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcweft.functions.attrs import with_attr
 from arcweft.model import GraphError, PropertyGraph, no_attrs
+from arcweft.shared import numbered
 
 
 def add_nodes(g: PropertyGraph, data: DataFrame) -> PropertyGraph:
     """Rows (data[, attrs]) as vertices with ids after the largest; rows with their own `id` keep it."""
     if "id" not in data.columns:
         top = g.vertices.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
-        data = data.withColumn("id", F.lit(top) + F.row_number().over(Window.orderBy("data")))
+        data = numbered(data, ["data"], "_n").withColumn("id", F.col("_n") + top + 1)
     elif not data.select("id").join(g.vertices.select("id"), "id", "left_semi").isEmpty():
         raise GraphError("an id exists already")
     attrs = data["attrs"] if "attrs" in data.columns else no_attrs()
@@ -26,7 +27,7 @@ def add_edges(g: PropertyGraph, edges: DataFrame) -> PropertyGraph:
     """All rows or none: an end that does not exist raises."""
     if "edge_id" not in edges.columns:
         top = g.edges.agg(F.coalesce(F.max("edge_id"), F.lit(-1))).first()[0]
-        edges = edges.withColumn("edge_id", F.lit(top) + F.row_number().over(Window.orderBy("src", "dst")))
+        edges = numbered(edges, ["src", "dst"], "_n").withColumn("edge_id", F.col("_n") + top + 1)
     new = PropertyGraph.of(g.vertices, edges, g.directed).edges
     ends = new.select(F.explode(F.array("src", "dst")).alias("id"))
     if bad := ends.join(g.vertices.select("id"), "id", "left_anti").first():
@@ -98,11 +99,22 @@ def edges_between(g: PropertyGraph, a: int, b: int) -> DataFrame:
     return g.edges.filter(is_pair(g, a, b))
 
 
+#: Ids in one row of the attribute index.
+CHUNK = 10_000
+
+
 def attribute_index(g: PropertyGraph) -> DataFrame:
-    """kind, key, value, ids: which vertices and edges hold a value."""
+    """kind, key, value, chunk, ids: which vertices and edges hold a value. A value that many hold has several rows, each with the ids
+    of one chunk (all whose id // CHUNK is `chunk`), so no row grows with the graph."""
     v = g.vertices.select(F.lit("node").alias("kind"), "id", F.explode("attrs").alias("key", "value"))
     e = g.edges.select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id"), F.explode("attrs").alias("key", "value"))
-    return v.unionAll(e).groupBy("kind", "key", "value").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    rows = v.unionAll(e).withColumn("chunk", F.floor(F.col("id") / CHUNK))
+    return rows.groupBy("kind", "key", "value", "chunk").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def predecessors_by_types(g: PropertyGraph, node: int, types: list[str]) -> DataFrame:
+    """Over edges of the types; no types: no edges."""
+    return predecessors(g.by_types(types), node)
 
 
 def metrics(g: PropertyGraph) -> DataFrame:
@@ -159,7 +171,7 @@ def to_matrix(g: PropertyGraph) -> DataFrame:
 
 def to_dense_matrix(g: PropertyGraph) -> DataFrame:
     """i, row: the dense square matrix in vertex order, 0 where there is no edge. Its size is the square of the vertices'."""
-    place = g.vertices.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("p"))
+    place = numbered(g.vertices.select("id"), ["id"], "p")
     n = place.count()
     cells = to_matrix(g).join(place.select(F.col("id").alias("j"), F.col("p").alias("q")), "j").groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("q", "weight"))).alias("cells"))
     kind = g.edges.schema["weight"].dataType

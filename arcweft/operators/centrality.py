@@ -23,19 +23,34 @@ def hops(g: PropertyGraph) -> Column:
     return F.lit(1).cast("long")
 
 
-def closeness(g: PropertyGraph, weighted: bool = False, sources: DataFrame | None = None) -> DataFrame:
-    """id, closeness: reached vertices over the sum of their distances (hops, or least weights); 0 if none is reached."""
+#: Most rows (sources * vertices) of a batch of an all-pairs measure.
+STATE = 200_000_000
+
+
+def batches_of(ids: DataFrame, vertices: DataFrame, batches: int | None) -> list[DataFrame]:
+    """The sources in so many parts that each, times all vertices, stays under STATE rows."""
+    n = batches or max(1, -(-ids.count() * vertices.count() // STATE))
+    return [ids if n == 1 else ids.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == i) for i in range(n)]
+
+
+def closeness(g: PropertyGraph, weighted: bool = False, sources: DataFrame | None = None, batches: int | None = None) -> DataFrame:
+    """id, closeness: reached vertices over the sum of their distances (hops, or least weights); 0 if none is reached.
+
+    Exact for all sources, which go in batches and leave one row each; `sources` (id) asks for some only."""
     ids = g.vertices.select("id") if sources is None else sources
-    far = shortest(g, ids, None if weighted else hops(g)).filter("id <> source")
-    score = far.groupBy(F.col("source").alias("id")).agg(F.try_divide(F.count("*").cast("double"), F.sum("dist").cast("double")).alias("closeness"))
+    score: DataFrame | None = None
+    for part in batches_of(ids, g.vertices, batches):
+        far = shortest(g, part, None if weighted else hops(g)).filter("id <> source")
+        sums = cut(far.groupBy(F.col("source").alias("id")).agg(F.try_divide(F.count("*").cast("double"), F.sum("dist").cast("double")).alias("closeness")), "closeness")
+        score = sums if score is None else score.unionAll(sums)
     return ids.join(score, "id", "left").select("id", F.coalesce("closeness", F.lit(0.0)).alias("closeness"))
 
 
-def betweenness(g: PropertyGraph, weighted: bool = False, multiplicity: bool = True, types: list[str] | None = None, batches: int = 1) -> DataFrame:
+def betweenness(g: PropertyGraph, weighted: bool = False, multiplicity: bool = True, types: list[str] | None = None, batches: int | None = None) -> DataFrame:
     """id, betweenness: shares of shortest paths through a vertex, over (n - 1)(n - 2), twice that for undirected graphs.
 
     multiplicity: parallel arcs are paths of their own. With types, n counts the vertices that an allowed edge touches. Sources
-    go in `batches`, which bounds the state (sources * vertices rows). 0 for all if n <= 2."""
+    go in batches, whose state (sources * vertices rows) stays under STATE. 0 for all if n <= 2."""
     part = g if types is None else g.by_types(types)
     n = part.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().count() if types is not None else g.vertices.count()
     arcs = part.arcs().groupBy("src", "dst").agg(F.min("weight").alias("weight"), F.count("*").alias("m")).filter("src <> dst")
@@ -43,8 +58,7 @@ def betweenness(g: PropertyGraph, weighted: bool = False, multiplicity: bool = T
     if weighted and not arcs.filter("w <= 0").isEmpty():
         raise GraphError("weighted betweenness needs positive weights")
     total: DataFrame | None = None
-    for b in range(batches):
-        sources = g.vertices.select("id").filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b)
+    for sources in batches_of(g.vertices.select("id"), g.vertices, batches):
         dist = cut(shortest(part, sources, None if weighted else hops(g)).select("source", "id", "dist"), "dist")
         to = dist.select("source", F.col("id").alias("dst"), F.col("dist").alias("dist_to"))
         steps = dist.withColumnRenamed("id", "src").join(arcs, "src").join(to, ["source", "dst"]).filter("dist + w = dist_to")
@@ -129,8 +143,9 @@ def katz(g: PropertyGraph, alpha: float = 0.1, beta: float = 1.0, max_iter: int
     return _loop(ids.select("id", F.lit(float(beta)).alias("x")), max_iter, tolerance, step, F.max(F.abs(F.col("x") - F.col("old")))).withColumnRenamed("x", "katz")
 
 
-def eigenvector(g: PropertyGraph, max_iter: int = 100) -> DataFrame:
-    """id, eigenvector: max_iter rounds of 1 + sum of weight * score of out-neighbours, scaled to length 1; then to sum 1."""
+def eigenvector(g: PropertyGraph, max_iter: int = 100, tolerance: float = 0) -> DataFrame:
+    """id, eigenvector: max_iter rounds of 1 + sum of weight * score of out-neighbours, scaled to length 1; then to sum 1. With a
+    tolerance it stops once no scaled score moves by as much."""
     ids, weights = cut(g.vertices.select("id"), "ids"), _out_weights(g)
 
     def step(now: DataFrame) -> DataFrame:
@@ -139,6 +154,6 @@ def eigenvector(g: PropertyGraph, max_iter: int = 100) -> DataFrame:
         norm = raw.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
         return raw.join(F.broadcast(norm), F.lit(True)).select("id", F.try_divide("x", "norm").alias("x"))
 
-    now = cut(_loop(ids.select("id", F.lit(1.0).alias("x")), max_iter, 0, step, None), "scores")
+    now = cut(_loop(ids.select("id", F.lit(1.0).alias("x")), max_iter, tolerance, step, F.max(F.abs(F.col("x") - F.col("old")))), "scores")
     total = now.agg(F.sum("x").alias("total"))
     return now.join(F.broadcast(total), F.lit(True)).select("id", F.try_divide("x", "total").alias("eigenvector"))

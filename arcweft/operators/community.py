@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,14 +15,16 @@ from arcweft.shared import components, cut
 
 @dataclass(frozen=True)
 class CommunityConfig:
-    """The effective resolution is resolution * gamma. Results depend on the seed only."""
+    """The effective resolution is resolution * gamma. deterministic: results depend on the seed only; else the seed, where it
+    is not given, and the moves of the refinement are drawn afresh."""
 
     gamma: float = 1.0
     resolution: float = 1.0
     iterations: int = 3
     rounds: int = 8
-    seed: int = 42
+    seed: int | None = 42
     min_community_size: int = 2
+    deterministic: bool = True
 
 
 def _symmetric(g: PropertyGraph) -> DataFrame:
@@ -73,12 +76,41 @@ def _move(arcs: DataFrame, config: CommunityConfig, level: int) -> DataFrame:
     return best
 
 
-def _refined(arcs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each connected part of a community as one of its own, named by its smallest vertex."""
+def _inside(arcs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The arcs whose ends share a label."""
     one, two = (labels.select(F.col("id").alias(c), F.col("label").alias(f"l_{c}")) for c in ("src", "dst"))
-    inside = arcs.filter("src < dst").join(one, "src").join(two, "dst").filter("l_src = l_dst")
-    parts = components(inside, "src", "dst")
-    return cut(labels.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("label")), "refined")
+    return arcs.join(one, "src").join(two, "dst").filter("l_src = l_dst").select("src", "dst", "w")
+
+
+def _refined(arcs: DataFrame, labels: DataFrame, config: CommunityConfig, level: int) -> DataFrame:
+    """Each community anew from single vertices, which join the part of their community of largest positive gain (not deterministic:
+    with a chance that grows with the gain); then connected parts, named by their smallest vertex. What a refinement leaves apart
+    may join again, in whole parts, at the next level."""
+    resolution = config.resolution * config.gamma
+    strength = cut(arcs.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "strength")
+    total = strength.agg(F.sum("k")).first()[0] or 0.0
+    inside = cut(_inside(arcs, labels).filter("src <> dst"), "inside")
+    parts = cut(labels.select("id", F.col("id").alias("label")), "parts")
+    for i in range(config.rounds if total else 0):
+        mine = parts.join(strength, "id")
+        sums = mine.groupBy("label").agg(F.sum("k").alias("total"), F.count("*").alias("members"))
+        near = inside.join(parts.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("k_in"))
+        # only vertices that are still alone move, half of them at a time, to a part that another of the round does not leave
+        alone = mine.join(sums.filter("members = 1").select("label"), "label").filter("id = label").select("id", "k")
+        half = lambda c: F.pmod(F.xxhash64(c, F.lit(config.seed or 0), F.lit(level), F.lit(i // 2)), F.lit(2)) == i % 2
+        options = near.join(alone.filter(half("id")), "id").join(sums, "label").filter((F.col("label") != F.col("id")) & ((F.col("members") > 1) | ~half("label")))
+        options = options.withColumn("gain", F.round(F.col("k_in") - resolution * F.col("k") * F.col("total") / total, 9)).filter("gain > 0")
+        pick = options.groupBy("id").agg(F.max(F.struct("gain", (-F.col("label")).alias("minus"))).alias("to"))
+        if not config.deterministic:
+            pick = pick.filter(F.rand() < 1 / (1 + F.exp(-F.col("to.gain"))))
+        moved = cut(pick.select("id", (-F.col("to.minus")).alias("new")), "moved")
+        if moved.isEmpty():
+            if i % 2:
+                break
+            continue
+        parts = cut(parts.join(moved, "id", "left").select("id", F.coalesce("new", "label").alias("label")), "parts")
+    connected = components(_inside(inside, parts).filter("src < dst"), "src", "dst")
+    return cut(labels.join(connected, "id", "left").select("id", F.coalesce("component", "id").alias("label")), "refined")
 
 
 def _merged(arcs: DataFrame, labels: DataFrame, least: int) -> DataFrame:
@@ -98,11 +130,13 @@ def _merged(arcs: DataFrame, labels: DataFrame, least: int) -> DataFrame:
 
 def communities(g: PropertyGraph, config: CommunityConfig = CommunityConfig(), include_isolated: bool = True) -> DataFrame:
     """community (its smallest vertex), id."""
+    if config.seed is None or not config.deterministic:
+        config = replace(config, seed=random.randrange(1 << 30) if config.seed is None else config.seed)
     arcs = cut(_symmetric(g), "arcs")
     level_arcs = arcs
     labels: DataFrame | None = None
     for level in range(config.iterations):
-        found = _refined(level_arcs, _move(level_arcs, config, level))
+        found = _refined(level_arcs, _move(level_arcs, config, level), config, level)
         labels = found if labels is None else cut(labels.join(found.select(F.col("id").alias("label"), F.col("label").alias("up")), "label").select("id", F.col("up").alias("label")), "labels")
         if found.filter("id <> label").isEmpty():
             break

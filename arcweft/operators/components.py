@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arcweft.model import PropertyGraph
 from arcweft.operators.search import reachable
-from arcweft.shared import components, cut
+from arcweft.shared import attach, components, cut, drop, lookup, numbered
 
 
 def weak(g: PropertyGraph) -> DataFrame:
@@ -97,33 +97,63 @@ def is_connected(g: PropertyGraph, types: Iterable[str] | None = None) -> bool:
     return is_strong(g) if g.directed else is_weak(g)
 
 
+def spanning_forest(pairs: DataFrame) -> DataFrame:
+    """src, dst of a forest that spans the components of distinct pairs src < dst: every component takes its smallest pair that leaves
+    it, and what these join becomes one. Each round at least halves the components that have a pair left."""
+    rest = cut(pairs.select("src", "dst", F.col("src").alias("cs"), F.col("dst").alias("cd")), "contracted")
+    forest = pairs.limit(0)
+    while not rest.isEmpty():
+        before = rest
+        ends = rest.select(F.explode(F.array("cs", "cd")).alias("c"), F.struct("src", "dst", "cs", "cd").alias("pair"))
+        taken = cut(ends.groupBy("c").agg(F.min("pair").alias("pair")).select("pair.*").distinct(), "taken")
+        forest = forest.unionAll(taken.select("src", "dst"))
+        joined = cut(components(taken, "cs", "cd"), "joined")
+        for c in ("cs", "cd"):
+            rest = attach(rest, joined.select(F.col("id").alias(c), F.col("component").alias("_to")), [c], F.struct("src", "dst")).withColumn(c, F.coalesce("_to", c)).drop("_to")
+        # one pair, the smallest, between any two components
+        rest = rest.filter("cs <> cd").groupBy(F.least("cs", "cd").alias("lo"), F.greatest("cs", "cd").alias("hi")).agg(F.min(F.struct("src", "dst")).alias("p"))
+        rest = cut(rest.select("p.src", "p.dst", F.col("lo").alias("cs"), F.col("hi").alias("cd")), "contracted")
+        drop(before, joined)
+    return cut(forest, "forest")
+
+
+def euler_sums(forest: DataFrame, labels: DataFrame) -> DataFrame:
+    """src, dst, a, b: for each pair of the forest the exclusive-or of the labels (id, a, b) on one of the sides that it parts.
+
+    Both sides have the same where a component's labels cancel out. The arcs of every tree are threaded to a tour, and sums along it
+    are made by pointer doubling: as many rounds as the logarithm of the tour's length, whatever the tree's depth."""
+    arcs = forest.select(F.col("src").alias("t"), F.col("dst").alias("h")).unionAll(forest.select(F.col("dst").alias("t"), F.col("src").alias("h")))
+    arcs = cut(numbered(arcs, ["t", "h"], "r"), "arcs")
+    block = cut(arcs.groupBy("t").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count("*").alias("m")), "blocks")
+    roots = components(forest, "src", "dst").filter("id = component").select(F.col("id").alias("t"))
+    heads = block.join(roots, "t").select(F.col("lo").alias("next"), F.lit(True).alias("is_head"))
+    # after an arc comes the one behind its reverse around the vertex it leads to
+    turned = lookup(arcs, block, ["t"], "m", F.col("r")).select(F.col("h").alias("t"), F.col("t").alias("h"), F.when(F.col("r") < F.col("hi"), F.col("r") + 1).otherwise(F.col("lo")).alias("next"))
+    # each vertex's label counts once, on the first arc into it
+    into = arcs.groupBy("h").agg(F.min("r").alias("r")).join(labels.withColumnRenamed("id", "h"), "h").select("r", "a", "b")
+    tour = arcs.join(turned, ["t", "h"]).join(into, "r", "left").join(heads, "next", "left")
+    tour = tour.select("r", F.when(F.col("is_head").isNull(), F.col("next")).alias("next"), F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    tour = cut(tour, "tour")
+    while not tour.filter("next is not null").isEmpty():
+        ahead = tour.select(F.col("r").alias("next"), F.col("next").alias("_next"), F.col("a").alias("_a"), F.col("b").alias("_b"))
+        more = tour.filter("next is not null").join(ahead, "next").select("r", F.col("_next").alias("next"), F.col("a").bitwiseXOR(F.col("_a")).alias("a"), F.col("b").bitwiseXOR(F.col("_b")).alias("b"))
+        done, tour = tour, cut(tour.filter("next is null").unionAll(more), "tour")
+        drop(done)
+    sums = arcs.join(tour, "r").select(F.least("t", "h").alias("src"), F.greatest("t", "h").alias("dst"), "a", "b")
+    return sums.groupBy("src", "dst").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+
+
 def bridge_pairs(g: PropertyGraph) -> DataFrame:
     """src < dst of pairs whose removal (with all parallels) parts a component; directions do not count.
 
-    A breadth-first forest is grown from each component's smallest vertex. Every other pair gets a random 128-bit label, which
-    its ends carry; the exclusive-or of the labels below a tree edge is zero if no pair closes a cycle over it (and by chance
-    with a probability of 2**-128). Vertices keep their way to the root, so the sums below are one aggregation."""
+    Every pair beside a spanning forest gets a random 128-bit label, which its ends carry; the exclusive-or of the labels on one side of
+    a forest pair is zero if no other pair leads across (and by chance with a probability of 2**-128)."""
     pairs = cut(g.edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src < dst").distinct(), "pairs")
-    arcs = cut(pairs.unionAll(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "arcs")
-    roots = components(pairs, "src", "dst").filter("id = component").select("id")
-    frontier = cut(roots.select("id", F.lit(None).cast("long").alias("parent"), F.array("id").alias("way")), "forest")
-    forest = frontier
-    level = 0
-    while not frontier.isEmpty():
-        step = frontier.join(arcs, frontier.id == arcs.src).select(F.col("dst").alias("id"), F.struct(F.col("src").alias("parent"), F.concat("way", F.array("dst")).alias("way")).alias("s"))
-        new = step.join(forest.select("id"), "id", "left_anti").groupBy("id").agg(F.min("s").alias("s"))
-        frontier = cut(new.select("id", "s.parent", "s.way"), "forest")
-        forest = forest.unionAll(frontier)
-        level += 1
-        if level % 8 == 0:
-            forest = cut(forest, "forest")
-    forest = cut(forest, "forest")
-    tree = forest.filter("parent is not null").select(F.least("id", "parent").alias("src"), F.greatest("id", "parent").alias("dst"), F.col("id").alias("child"))
-    other = pairs.join(tree, ["src", "dst"], "left_anti")
+    forest = spanning_forest(pairs)
+    other = pairs.join(forest, ["src", "dst"], "left_anti")
     labels = other.select(F.explode(F.array("src", "dst")).alias("id"), F.xxhash64(F.lit("a"), "src", "dst").alias("a"), F.xxhash64(F.lit("b"), "dst", "src").alias("b"))
-    carried = labels.groupBy("id").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
-    below = carried.join(forest, "id").select(F.explode("way").alias("child"), "a", "b").groupBy("child").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
-    return tree.join(below, "child", "left").filter("coalesce(a, 0) = 0 and coalesce(b, 0) = 0").select("src", "dst")
+    carried = cut(labels.groupBy("id").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")), "labels")
+    return euler_sums(forest, carried).filter("a = 0 and b = 0").select("src", "dst")
 
 
 def bridges(g: PropertyGraph) -> DataFrame:

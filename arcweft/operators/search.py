@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcweft.model import GraphError, PropertyGraph
-from arcweft.shared import cut
+from arcweft.shared import cut, drop
+
+#: Rounds between merges of what a loop has found.
+STRIDE = 8
 
 
 def reachable(starts: DataFrame, arcs: DataFrame, stop_at: int | None = None, excluded: DataFrame | None = None) -> DataFrame:
@@ -34,7 +37,7 @@ def reachable(starts: DataFrame, arcs: DataFrame, stop_at: int | None = None, ex
         seen = seen.unionAll(frontier)
         if stop_at is not None and not frontier.filter(F.col("id") == stop_at).isEmpty():
             return seen
-        if level % 8 == 0:
+        if level % STRIDE == 0:
             seen = cut(seen, "seen")
 
 
@@ -84,15 +87,18 @@ def bfs_path(g: PropertyGraph, source: int, target: int, types: Iterable[str] |
 
 
 def has_cycle_directed(g: PropertyGraph) -> bool:
-    """Peel vertices without in-arcs; a cycle is what cannot be peeled."""
+    """Peel vertices without in-arcs and those without out-arcs, both ends at a time; a cycle is what cannot be peeled."""
+    if not g.edges.filter("src = dst").isEmpty():
+        return True
     arcs = cut(g.edges.select("src", "dst").distinct(), "arcs")
-    while True:
-        heads = arcs.select(F.col("dst").alias("src")).distinct()
-        left = cut(arcs.join(heads, "src", "left_semi"), "arcs")
-        n, m = left.count(), arcs.count()
-        if n == 0 or n == m:
-            return n > 0
-        arcs = left
+    m = arcs.count()
+    while m:
+        heads, tails = arcs.select(F.col("dst").alias("src")).distinct(), arcs.select(F.col("src").alias("dst")).distinct()
+        arcs = cut(arcs.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"), "arcs")
+        n, m = m, arcs.count()
+        if n == m:
+            return True
+    return False
 
 
 def has_cycle_undirected(g: PropertyGraph, parallel: bool) -> bool:
@@ -120,15 +126,25 @@ def shortest(g: PropertyGraph, sources: DataFrame, weight: Column | None = None)
         raise GraphError("negative weights")
     kind = arcs.schema["w"].dataType
     dist = sources.select(F.col("id").alias("source"), "id", F.lit(0).cast(kind).alias("dist"))
-    dist = cut(dist, "dist")
-    frontier = dist
+    base = cut(dist, "dist")
+    frontier, layers = base, []
     while True:
         reach = frontier.join(arcs, frontier.id == arcs.src).groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
-        better = reach.join(dist, ["source", "id"], "left").filter("dist is null or new < dist").select("source", "id", F.col("new").alias("dist"))
+        # what is known: the base and the layers since, which are written once each and merged every STRIDE rounds
+        known = base
+        for layer in layers:
+            known = known.unionAll(layer)
+        known = known.groupBy("source", "id").agg(F.min("dist").alias("dist")) if layers else base
+        better = reach.join(known, ["source", "id"], "left").filter("dist is null or new < dist").select("source", "id", F.col("new").alias("dist"))
         frontier = cut(better, "frontier")
         if frontier.isEmpty():
+            dist = cut(known, "dist") if layers else base
             break
-        dist = cut(dist.join(frontier, ["source", "id"], "left_anti").unionAll(frontier), "dist")
+        layers.append(frontier)
+        if len(layers) == STRIDE:
+            merged = cut(known.unionAll(frontier).groupBy("source", "id").agg(F.min("dist").alias("dist")), "dist")
+            drop(base, *layers[:-1])
+            base, layers = merged, []
     before = dist.select("source", F.col("id").alias("src"), F.col("dist").alias("before"))
     # zero-weight arcs: of equal ways the predecessor must itself come closer to the source, or be the source
     pred = before.join(arcs, "src").withColumnRenamed("dst", "id").join(dist, ["source", "id"]).filter("before + w = dist and id <> source and (w > 0 or src < id or src = source)")
@@ -146,12 +162,16 @@ def dijkstra_path(g: PropertyGraph, start: int, end: int, types: Iterable[str] |
     g.require(start, end)
     if start == end:
         return [start]
-    found = cut(dijkstra(g, start, types), "tree")
-    path, at = [end], end
-    while at != start:
-        row = found.filter(F.col("id") == at).first()
-        if row is None or row.pred is None:
-            return None
-        at = row.pred
-        path.append(at)
-    return path[::-1]
+    tree = cut(dijkstra(g, start, types).select("id", "pred"), "tree")
+    if tree.filter(F.col("id") == end).isEmpty():
+        return None
+    # pointer doubling: after k rounds `way` holds the last 2**k vertices, and `jump` leads 2**k steps back
+    way = tree.filter(F.col("id") == end).select("id", F.lit(0).cast("long").alias("step"))
+    jump, length = tree.filter("pred is not null").select("id", F.col("pred").alias("to")), 1
+    while True:
+        more = way.join(jump, "id").select(F.col("to").alias("id"), (F.col("step") + length).alias("step"))
+        longer = cut(way.unionAll(more), "way")
+        if not longer.filter(F.col("id") == start).isEmpty():
+            return [r.id for r in longer.orderBy(F.desc("step")).collect()]  # the answer itself
+        way, length = longer, 2 * length
+        jump = cut(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")), "jump")

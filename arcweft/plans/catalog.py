@@ -48,6 +48,12 @@ def csv_round_trip(spark: SparkSession, g: PropertyGraph, typed: bool) -> Proper
     return graph_csv.load(spark, nodes, edges, g.directed, typed, "long")
 
 
+def networkx_load(spark: SparkSession, g: PropertyGraph) -> PropertyGraph:
+    nodes, edges = fresh_path(spark, "nodes"), fresh_path(spark, "edges")
+    graph_csv.save(g, nodes, edges, True)
+    return graph_csv.load_networkx_style(spark, nodes, edges)
+
+
 def cached(g: PropertyGraph) -> PropertyGraph:
     """For loops over a derived graph: its edges and vertices as tables."""
     return PropertyGraph(cut(g.vertices, "vertices"), cut(g.edges, "edges"), g.directed)
@@ -97,9 +103,12 @@ def queries() -> dict[str, Query]:
         "csv_roundtrip_h": lambda s, d: (lambda g: g.edges.select("edge_id", "src", "dst", "weight", "edge_type", rendered(F.col("attrs")).alias("attrs")))(csv_round_trip(s, tagged(s, d), True)),
         "from_matrix": lambda s, d: matrix_of(s, d).edges.select("src", "dst", "weight"),
         "to_matrix": lambda s, d: build.to_dense_matrix(tables.trade(s, d)).select("i", F.array_join("row", ",").alias("row")),
+        "networkx_load": lambda s, d: networkx_load(s, tagged(s, d)).vertices.select("id", "data", rendered(F.col("attrs")).alias("attrs")),
         # construction and mutation
         "add_nodes": lambda s, d: build.add_nodes(tables.hierarchy(s, d), named(s, (50, "x"), (51, "y"))).vertices.select("id", "data"),
         "add_edges": lambda s, d: counts(build.add_edges(tables.trade(s, d), s.createDataFrame([(1, 0, 1, 5), (2, 3, 3, 7)], "edge_id long, src long, dst long, weight long"))),
+        "add_nodes_assigned": lambda s, d: build.add_nodes(tables.hierarchy(s, d), tables.read(s, d, "part").select(F.col("p_name").alias("data"))).vertices.select("id", "data"),
+        "add_edges_assigned": lambda s, d: edge_rows(build.add_edges(tables.trade(s, d), tables.read(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("src"), F.col("n_regionkey").cast("long").alias("dst"), F.lit(1).cast("long").alias("weight")))),
         "remove_nodes": lambda s, d: counts(build.remove_nodes(tables.world(s, d), s.createDataFrame([(100,), (104,)], "id long"))),
         "remove_edge_pair": lambda s, d: counts(build.remove_edge_pair(tables.world(s, d), 101, 100)),
         "remove_edge_id": lambda s, d: counts(build.remove_edge_id(tables.hierarchy(s, d), 101)),
@@ -113,10 +122,12 @@ def queries() -> dict[str, Query]:
         "neighbors": lambda s, d: build.neighbors(tables.users(s, d), 3),
         "neighbors_grouped": lambda s, d: build.neighbors_grouped(tables.users(s, d)).select("src", "dst", F.array_join(F.transform("edges", lambda e: F.concat(e["edge_id"].cast("string"), F.lit(":"), e["weight"].cast("string"))), ",").alias("edges")),
         "edges_between": lambda s, d: build.edges_between(undirected(tables.users(s, d)), 3, 5).select("edge_id", "src", "dst", "weight"),
+        "edges_between_pair": lambda s, d: build.edges_between(undirected(tables.trade(s, d)), 7, 3).select("edge_id", "src", "dst", "weight", "edge_type"),
         "lookup": lambda s, d: tables.hierarchy(s, d).vertices.filter("id = 103").select("id", "data"),
         "has_node": lambda s, d: one(s, not search.start_of(tables.users(s, d), 7).isEmpty()),
         "predecessors": lambda s, d: build.predecessors(tables.users(s, d), 3),
-        "attr_index": lambda s, d: build.attribute_index(tables.hierarchy(s, d)).select("kind", "key", "value", F.array_join("ids", ",").alias("ids")),
+        "predecessors_by_types": lambda s, d: build.predecessors_by_types(tables.users(s, d), 3, TYPES),
+        "attr_index": lambda s, d: build.attribute_index(tables.hierarchy(s, d)).select("kind", "key", "value", "chunk", F.array_join("ids", ",").alias("ids")),
         "density": lambda s, d: build.metrics(tables.users(s, d)).select(F.round("density", 9).alias("density")),
         "metrics": lambda s, d: build.metrics(undirected(tables.users(s, d))).select("n_vertices", "n_edges", "directed", F.round("density", 9).alias("density")),
         # conversion
@@ -151,6 +162,8 @@ def queries() -> dict[str, Query]:
         "scc_by_types": lambda s, d: components.strong(U(s, d).by_types(["error"], True)),
         "cc_by_types": lambda s, d: components.connected_components(W(s, d), ["supplier_of"]),
         "is_connected_by_types": lambda s, d: one(s, components.is_connected(W(s, d), ["in_region", "supplier_of"])),
+        "is_wcc_by_types": lambda s, d: one(s, components.is_weak(W(s, d).by_types(["supplier_of"], True))),
+        "is_scc_by_types": lambda s, d: one(s, components.is_strong(U(s, d).by_types(["click", "purchase", "view"], True))),
         # bridges
         "bridges": lambda s, d: components.bridges(W(s, d)),
         "bridges_h": lambda s, d: components.bridges_single(W(s, d)),
@@ -166,6 +179,9 @@ def queries() -> dict[str, Query]:
         "closeness_by_types": lambda s, d: rounded(centrality.closeness(U(s, d).by_types(["purchase"]), weighted=True), 12),
         "eigenvector": lambda s, d: rounded(centrality.eigenvector(U(s, d), 10)),
         "eigenvector_by_types": lambda s, d: rounded(centrality.eigenvector(U(s, d).by_types(TYPES), 10)),
+        "eigenvector_tolerance": lambda s, d: rounded(centrality.eigenvector(U(s, d), 200, 1e-13)),
+        "pagerank_tolerance": lambda s, d: rounded(centrality.pagerank(U(s, d), 0.85, 200, 1e-12)),
+        "katz_tolerance": lambda s, d: rounded(centrality.katz(U(s, d), 1e-8, 1.0, 200, 1e-13)),
         "pagerank": lambda s, d: rounded(centrality.pagerank(U(s, d), 0.85, 20, 0)),
         "pagerank_by_types": lambda s, d: rounded(centrality.pagerank(U(s, d).by_types(TYPES), 0.85, 20, 0)),
         "katz": lambda s, d: rounded(centrality.katz(U(s, d), 1e-6, 1.0, 10, 0)),
@@ -176,6 +192,7 @@ def queries() -> dict[str, Query]:
         "dominating_set_by_types": lambda s, d: dominating.dominating_set_typed(undirected(U(s, d)), ["signup"]),
         "communities": lambda s, d: community.communities(cached(tables.trade(s, d))),
         "communities_by_types": lambda s, d: community.communities_by_types(W(s, d), ["in_region", "supplier_of"]),
+        "communities_of_stars": lambda s, d: community.communities_by_types(W(s, d), ["supplier_of"]),
         "modularity": lambda s, d: s.range(1).select(F.round(F.lit(community.modularity(cut(community._symmetric(tables.trade(s, d)), "arcs"), tables.read(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("label")))), 9).alias("modularity")),
     }
     return q

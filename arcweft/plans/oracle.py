@@ -7,19 +7,19 @@ U = """u AS (SELECT event_id AS edge_id, user_id AS src, lead(user_id) OVER (ORD
 e AS (SELECT * FROM u WHERE dst IS NOT NULL), v AS (SELECT DISTINCT user_id AS id FROM events)"""
 H = """hv AS (SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS data, 'kind=region' AS attrs FROM region
   UNION ALL SELECT 100 + n_nationkey, n_name, 'kind=nation' FROM nation
-  UNION ALL SELECT 1000000 + s_suppkey, s_name, 'kind=supplier' FROM supplier
-  UNION ALL SELECT 10000000 + c_custkey, c_name, 'kind=customer,segment=' || c_mktsegment FROM customer),
+  UNION ALL SELECT 1099511627776 + s_suppkey, s_name, 'kind=supplier' FROM supplier
+  UNION ALL SELECT 3298534883328 + c_custkey, c_name, 'kind=customer,segment=' || c_mktsegment FROM customer),
 he AS (SELECT CAST(100 + n_nationkey AS BIGINT) AS edge_id, CAST(100 + n_nationkey AS BIGINT) AS src, CAST(n_regionkey AS BIGINT) AS dst, CAST(1 AS BIGINT) AS weight, 'in_region' AS edge_type FROM nation
-  UNION ALL SELECT 1000000 + s_suppkey, 1000000 + s_suppkey, 100 + s_nationkey, 1, 'supplier_of' FROM supplier
-  UNION ALL SELECT 10000000 + c_custkey, 10000000 + c_custkey, 100 + c_nationkey, 1, 'customer_of' FROM customer)"""
+  UNION ALL SELECT 1099511627776 + s_suppkey, 1099511627776 + s_suppkey, 100 + s_nationkey, 1, 'supplier_of' FROM supplier
+  UNION ALL SELECT 3298534883328 + c_custkey, 3298534883328 + c_custkey, 100 + c_nationkey, 1, 'customer_of' FROM customer)"""
 T = """te AS (SELECT (src * 100 + dst) * 256 + ascii(edge_type) AS edge_id, * FROM (
   SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, l_returnflag AS edge_type, CAST(sum(l_quantity) AS BIGINT) AS weight
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)),
 tv AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS data FROM nation)"""
-W = f"""{H}, {T}, w0 AS (SELECT edge_id, src, dst, weight, edge_type FROM he UNION ALL SELECT edge_id + 100000000, src + 100, dst + 100, weight, edge_type FROM te),
+W = f"""{H}, {T}, w0 AS (SELECT edge_id, src, dst, weight, edge_type FROM he UNION ALL SELECT edge_id + 4398046511104, src + 100, dst + 100, weight, edge_type FROM te),
 we AS (SELECT edge_id, least(src, dst) AS src, greatest(src, dst) AS dst, weight, edge_type FROM w0)"""
-S = """sv AS (SELECT 1000000 + s_suppkey AS id FROM supplier UNION ALL SELECT 2000000 + p_partkey FROM part),
-se AS (SELECT 1000000 + l_suppkey AS src, 2000000 + l_partkey AS dst, count(*) AS weight FROM lineitem GROUP BY ALL)"""
+S = """sv AS (SELECT 1099511627776 + s_suppkey AS id FROM supplier UNION ALL SELECT 2199023255552 + p_partkey FROM part),
+se AS (SELECT 1099511627776 + l_suppkey AS src, 2199023255552 + l_partkey AS dst, count(*) AS weight FROM lineitem GROUP BY ALL)"""
 
 
 def only(types: list[str]) -> str:
@@ -133,11 +133,15 @@ def sql() -> dict[str, str]:
         "scan_edges": f"WITH {U} " + scan_u.format("src", "dst"),
         "csv_roundtrip_g": f"WITH {H} SELECT id, CAST(id AS VARCHAR) AS data, attrs, n_in, payload FROM hv LEFT JOIN (SELECT dst, count(*) AS n_in, min(edge_type) AS payload FROM he GROUP BY dst) x ON x.dst = hv.id",
         "csv_roundtrip_h": f"WITH {H} SELECT edge_id, src, dst, weight, edge_type, 'kind=' || edge_type || ',length=' || weight AS attrs FROM he",
+        "networkx_load": f"WITH {H} SELECT id, data, CASE WHEN attrs LIKE '%segment=%' THEN attrs ELSE attrs || ',segment=unknown' END AS attrs FROM hv",
         "from_matrix": f"WITH {T} SELECT src, dst, arg_max(weight, edge_id) AS weight FROM te GROUP BY src, dst HAVING arg_max(weight, edge_id) <> 0",
         "to_matrix": f"""WITH {T}, c AS (SELECT src, dst, arg_max(weight, edge_id) AS w FROM te GROUP BY src, dst)
 SELECT a.id AS i, string_agg(CAST(coalesce(c.w, 0) AS VARCHAR), ',' ORDER BY b.id) AS row FROM tv a CROSS JOIN tv b LEFT JOIN c ON c.src = a.id AND c.dst = b.id GROUP BY a.id""",
         "add_nodes": f"WITH {H} SELECT id, data FROM hv UNION ALL SELECT 50, 'x' UNION ALL SELECT 51, 'y'",
         "add_edges": f"WITH {T}, x AS (SELECT src, dst, weight FROM te UNION ALL SELECT 0, 1, 5 UNION ALL SELECT 3, 3, 7) " + counts("tv", "x"),
+        "add_nodes_assigned": f"WITH {H} SELECT id, data FROM hv UNION ALL SELECT (SELECT 3298534883328 + max(c_custkey) FROM customer) + row_number() OVER (ORDER BY p_name) AS id, p_name AS data FROM part",
+        "add_edges_assigned": f"""WITH {T} SELECT edge_id, src, dst, weight, edge_type FROM te
+UNION ALL SELECT (SELECT max(edge_id) FROM te) + row_number() OVER (ORDER BY n_nationkey, n_regionkey), n_nationkey, n_regionkey, 1, '' FROM nation""",
         "remove_nodes": f"WITH {W}, x AS (SELECT * FROM we WHERE src NOT IN (100, 104) AND dst NOT IN (100, 104)), y AS (SELECT * FROM hv WHERE id NOT IN (100, 104)) " + counts("y", "x"),
         "remove_edge_pair": f"WITH {W}, x AS (SELECT * FROM we WHERE NOT (src = 100 AND dst = 101)) " + counts("hv", "x"),
         "remove_edge_id": f"WITH {H}, x AS (SELECT * FROM he WHERE edge_id <> 101) " + counts("hv", "x"),
@@ -150,11 +154,13 @@ SELECT a.id AS i, string_agg(CAST(coalesce(c.w, 0) AS VARCHAR), ',' ORDER BY b.i
         "neighbors": f"WITH {U} SELECT edge_id, dst AS neighbor, weight FROM e WHERE src = 3",
         "neighbors_grouped": f"WITH {U} SELECT src, dst, string_agg(edge_id || ':' || weight, ',' ORDER BY edge_id) AS edges FROM e GROUP BY src, dst",
         "edges_between": f"WITH {U} SELECT edge_id, least(src, dst) AS src, greatest(src, dst) AS dst, weight FROM e WHERE least(src, dst) = 3 AND greatest(src, dst) = 5",
+        "edges_between_pair": f"WITH {T} SELECT edge_id, least(src, dst) AS src, greatest(src, dst) AS dst, weight, edge_type FROM te WHERE least(src, dst) = 3 AND greatest(src, dst) = 7",
         "lookup": f"WITH {H} SELECT id, data FROM hv WHERE id = 103",
         "has_node": f"WITH {U} SELECT count(*) > 0 AS result FROM v WHERE id = 7",
         "predecessors": f"WITH {U} SELECT edge_id, src AS predecessor, weight FROM e WHERE dst = 3",
+        "predecessors_by_types": f"WITH {U} SELECT edge_id, src AS predecessor, weight FROM e WHERE dst = 3 AND {TYPED}",
         "attr_index": f"""WITH {H}, x AS (SELECT id, unnest(string_split(attrs, ',')) AS kv FROM hv)
-SELECT 'node' AS kind, split_part(kv, '=', 1) AS key, split_part(kv, '=', 2) AS value, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM x GROUP BY ALL""",
+SELECT 'node' AS kind, split_part(kv, '=', 1) AS key, split_part(kv, '=', 2) AS value, id // 10000 AS chunk, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM x GROUP BY ALL""",
         "density": f"WITH {U} SELECT round((SELECT count(*) FROM e) / CAST((SELECT count(*) * (count(*) - 1) FROM v) AS DOUBLE), 9) AS density",
         "metrics": f"WITH {U} SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges, FALSE AS directed, round(2 * (SELECT count(*) FROM e) / CAST((SELECT count(*) * (count(*) - 1) FROM v) AS DOUBLE), 9) AS density",
         "convert_default": f"WITH {H} SELECT id, '' AS data, attrs FROM hv",
@@ -162,7 +168,7 @@ SELECT 'node' AS kind, split_part(kv, '=', 1) AS key, split_part(kv, '=', 2) AS
         "to_string_h": f"WITH {U} " + scan_u.format("src", "dst"),
         "transpose": f"WITH {U} " + scan_u.format("dst", "src"),
         "transpose_by_types": f"WITH {U} " + scan_u.format("dst", "src") + f" WHERE {TYPED}",
-        "has_path": f"WITH RECURSIVE {H}, r(id) AS (SELECT CAST(1000000 AS BIGINT) UNION SELECT he.dst FROM r JOIN he ON he.src = r.id) SELECT count(*) > 0 AS result FROM r WHERE id = 2",
+        "has_path": f"WITH RECURSIVE {H}, r(id) AS (SELECT CAST(1099511627776 AS BIGINT) UNION SELECT he.dst FROM r JOIN he ON he.src = r.id) SELECT count(*) > 0 AS result FROM r WHERE id = 2",
         "has_path_by_types": f"WITH RECURSIVE {U}, r(id) AS (SELECT CAST(0 AS BIGINT) UNION SELECT e.dst FROM r JOIN e ON e.src = r.id WHERE {BUY}) SELECT count(*) > 0 AS result FROM r WHERE id = 9",
         "bfs_path": bfs_path(9, "TRUE", False),
         "bfs_path_h": bfs_path(11, "TRUE", True),
@@ -185,6 +191,8 @@ SELECT 'node' AS kind, split_part(kv, '=', 1) AS key, split_part(kv, '=', 2) AS
         "scc_by_types": f"WITH RECURSIVE {U}, {reach('SELECT DISTINCT src, dst FROM e WHERE edge_type = ' + repr('error'))} SELECT x.s AS id, min(x.id) AS component FROM r x JOIN r y ON x.s = y.id AND x.id = y.s GROUP BY x.s",
         "cc_by_types": f"WITH RECURSIVE {W}, {weak('hv', both('we', 'edge_type IN ' + only(['supplier_of'])))} SELECT id, comp AS component FROM cc",
         "is_connected_by_types": f"WITH RECURSIVE {W}, {weak('hv', both('we', DOWN))} SELECT count(DISTINCT comp) <= 1 AS result FROM cc",
+        "is_wcc_by_types": f"WITH RECURSIVE {W}, {weak('hv', both('we', 'edge_type IN ' + only(['supplier_of'])))} SELECT count(DISTINCT comp) <= 1 AS result FROM cc",
+        "is_scc_by_types": f"WITH RECURSIVE {U}, {reach('SELECT DISTINCT src, dst FROM e WHERE edge_type IN ' + only(['click', 'purchase', 'view']))} SELECT count(*) = (SELECT count(*) * count(*) FROM v) AS result FROM r",
         "bridges": bridge("TRUE", "SELECT src, dst FROM b"),
         "bridges_h": bridge("TRUE", "SELECT b.src, b.dst, min(we.edge_type) AS edge_type FROM b JOIN we USING (src, dst) GROUP BY b.src, b.dst HAVING count(*) = 1"),
         "bridges_by_types": bridge(DOWN, f"SELECT b.src, b.dst, we.edge_type FROM b JOIN we USING (src, dst) WHERE {DOWN}"),
@@ -198,6 +206,9 @@ SELECT 'node' AS kind, split_part(kv, '=', 1) AS key, split_part(kv, '=', 2) AS
         "closeness_by_types": closeness(BUY, "weight", 12),
         "eigenvector": spectral("eigenvector", "TRUE", 10),
         "eigenvector_by_types": spectral("eigenvector", TYPED, 10),
+        "eigenvector_tolerance": spectral("eigenvector", "TRUE", 60),
+        "pagerank_tolerance": spectral("pagerank", "TRUE", 80),
+        "katz_tolerance": spectral("katz", "TRUE", 40).replace("1e-6", "1e-8"),
         "pagerank": spectral("pagerank", "TRUE", 20),
         "pagerank_by_types": spectral("pagerank", TYPED, 20),
         "katz": spectral("katz", "TRUE", 10),
@@ -205,6 +216,7 @@ SELECT 'node' AS kind, split_part(kv, '=', 1) AS key, split_part(kv, '=', 2) AS
         "dominating_set": dominating("SELECT src, dst FROM e", "SELECT v.id, (SELECT count(*) FROM e WHERE e.src = v.id) AS d FROM v", False),
         "dominating_set_h": dominating(both("e"), "SELECT src AS id, count(DISTINCT dst) AS d FROM arcs GROUP BY src", True),
         "dominating_set_by_types": dominating(both("e", "edge_type = 'signup'"), "SELECT src AS id, count(DISTINCT dst) AS d FROM arcs GROUP BY src", True),
+        "communities_of_stars": f"WITH {H}, x AS (SELECT src, dst FROM he WHERE edge_type = 'supplier_of') SELECT dst AS community, src AS id FROM x UNION SELECT dst, dst FROM x",
         "modularity": f"""WITH {T}, a AS (SELECT src, dst, CAST(weight AS DOUBLE) AS w FROM te UNION ALL SELECT dst, src, weight FROM te), n AS (SELECT n_nationkey AS id, n_regionkey AS c FROM nation),
 x AS (SELECT p.c AS c, sum(w) AS t, sum(CASE WHEN p.c = q.c THEN w ELSE 0 END) AS i FROM a JOIN n p ON p.id = a.src JOIN n q ON q.id = a.dst GROUP BY p.c)
 SELECT round(sum(i) / sum(t) - sum(t * t) / (sum(t) * sum(t)), 9) AS modularity FROM x""",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Keys with the most rows that `lookup` broadcasts; every other key has less than a thousandth of the rows.
@@ -20,6 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="arcweft-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -34,7 +37,18 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     an executor that may be lost."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that `cut` wrote and that nothing reads any more: loops drop a round's tables once the next stand."""
+    for t in tables:
+        if path := getattr(t, "cut_path", None):
+            jvm, context = t.sparkSession._jvm, t.sparkSession.sparkContext
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: list[str], weight: str, spread: Column) -> DataFrame:
@@ -64,6 +78,16 @@ def _dealt(rows: DataFrame, table: DataFrame, heavy: DataFrame, on: list[str], s
     return joined.select(*rows.columns, *picked)
 
 
+def numbered(df: DataFrame, by: list[str], name: str = "n") -> DataFrame:
+    """df with the place of each row, from 0, in the order of `by`: ranges are sorted side by side, and only their sizes meet."""
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    rows = cut(rows.withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)), "numbered")
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_size"))
+    # one row per range, whose number is that of the shuffle partitions
+    sizes = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
+    return rows.join(F.broadcast(sizes), "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
 #: Bits of the bitmap that `marked` broadcasts: 4 MB, whatever the input.
 BITS = 1 << 25
 
@@ -108,7 +132,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
         small = lookup(large, least, ["hi"], "n", F.col("lo"))
         small = small.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo < hi").unionAll(least.select(F.col("m").alias("lo"), "hi"))
-        e = cut(small.distinct(), "edges")
+        done, e = e, cut(small.distinct(), "edges")
+        drop(done, large)
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     roots = e.select(F.col("lo").alias("id")).distinct()

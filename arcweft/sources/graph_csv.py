@@ -35,7 +35,8 @@ def _write(df: DataFrame, fixed: list[Column], keys: list[str], names: list[str]
         lines.select(F.split("value", ",", -1).alias("f")).select(*(F.col("f")[i].alias(c or "_") for i, c in enumerate([*names, *(keys or [""])]))).write.mode("overwrite").csv(path, header=True, quote="", emptyValue="")
 
 
-def save(g: PropertyGraph, nodes: str, edges: str, typed: bool, single: bool = True) -> None:
+def save(g: PropertyGraph, nodes: str, edges: str, typed: bool, single: bool = False) -> None:
+    """Two folders of part files; `single` writes each as one part, in one task, for readers of single files."""
     v, e = g.vertices, g.edges
     _write(v, [F.col("id"), F.col("data")] if typed else [F.col("id")], attr_keys(v), TYPED_NODES if typed else PLAIN_NODES, nodes, single)
     ends = [F.col("src"), F.col("dst"), F.col("weight")]

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from arcweft.model import PropertyGraph
 
-#: Fixed: id ranges of the kinds of vertices.
-NATION, SUPPLIER, CUSTOMER, PART = 100, 1_000_000, 10_000_000, 2_000_000
+#: Fixed: where the id ranges of the kinds of vertices begin. Each has room for 2**40 keys.
+NATION, SUPPLIER, PART, CUSTOMER, TRADE = 100, 1 << 40, 2 << 40, 3 << 40, 4 << 40
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,11 +74,11 @@ def supply(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     lineitem, supplier, part = (read(spark, sf_dir, t) for t in ("lineitem", "supplier", "part"))
     v = supplier.select((F.col("s_suppkey") + SUPPLIER).alias("id"), F.col("s_name").alias("data")).unionAll(part.select((F.col("p_partkey") + PART).alias("id"), F.col("p_name").alias("data")))
     e = lineitem.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("weight"))
-    e = e.select((F.col("l_suppkey") * 10_000_000 + F.col("l_partkey")).alias("edge_id"), (F.col("l_suppkey") + SUPPLIER).alias("src"), (F.col("l_partkey") + PART).alias("dst"), "weight", F.lit("supplies").alias("edge_type"))
+    e = e.select((F.col("l_suppkey") * (1 << 32) + F.col("l_partkey")).alias("edge_id"), (F.col("l_suppkey") + SUPPLIER).alias("src"), (F.col("l_partkey") + PART).alias("dst"), "weight", F.lit("supplies").alias("edge_type"))
     return PropertyGraph.of(v, e, False)
 
 
 def world(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     h, t = hierarchy(spark, sf_dir), trade(spark, sf_dir)
-    e = t.edges.select((F.col("edge_id") + 100_000_000).alias("edge_id"), (F.col("src") + NATION).alias("src"), (F.col("dst") + NATION).alias("dst"), "weight", "edge_type")
+    e = t.edges.select((F.col("edge_id") + TRADE).alias("edge_id"), (F.col("src") + NATION).alias("src"), (F.col("dst") + NATION).alias("dst"), "weight", "edge_type")
     return PropertyGraph.of(h.vertices, h.edges.select("edge_id", "src", "dst", "weight", "edge_type").unionAll(e), False)

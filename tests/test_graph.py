@@ -183,3 +183,33 @@ def test_random_graphs(spark, seed):
             taken.append(i)
             covered |= {i, *near[i]}
     assert ids(dominating.dominating_set(g)) == sorted(taken)
+
+
+def test_bridges_of_a_long_path_with_a_cycle(spark):
+    """Depth does not matter: 10,000 vertices in a row, whose first 100 are also a ring."""
+    n = 10_000
+    ids = spark.range(n)
+    edges = ids.filter("id > 0").select(F.col("id").alias("edge_id"), (F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
+    edges = edges.unionAll(spark.createDataFrame([(n, 0, 99), (n + 1, 7, 7), (n + 2, 500, 501)], "edge_id long, src long, dst long"))
+    got = {(r.src, r.dst) for r in components.bridges(PropertyGraph.of(ids, edges, False)).collect()}
+    assert got == {(i, i + 1) for i in range(99, n - 1)}
+
+
+def test_refinement_without_a_fixed_seed(spark):
+    g = graph(spark, 8, [(a, b) for k in (0, 4) for a in range(k, k + 4) for b in range(a + 1, k + 4)] + [(0, 4)])
+    free = community.CommunityConfig(seed=None, deterministic=False)
+    found = community.communities(g, free)
+    parts = {}
+    for r in found.collect():
+        parts.setdefault(r.community, set()).add(r.id)
+    assert set().union(*parts.values()) == set(range(8)) and all(c == min(x) for c, x in parts.items())
+    again = [sorted(map(tuple, community.communities(g).collect())) for _ in range(2)]
+    assert again[0] == again[1] and {c for c, _ in again[0]} == {0, 4}
+
+
+def test_batches_change_nothing(spark):
+    rng = random.Random(4)
+    g = graph(spark, 9, [(rng.randrange(9), rng.randrange(9), rng.randrange(1, 5)) for _ in range(16)])
+    for measure in (centrality.closeness, centrality.betweenness):
+        one, three = ({r[0]: round(r[1], 9) for r in measure(g, weighted=True, batches=b).collect()} for b in (1, 3))
+        assert one == three

@@ -47,3 +47,16 @@ def test_components(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
     assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_numbered_and_dropped(spark):
+    rows = spark.range(2000).select((F.col("id") % 700).alias("k"), F.col("id").alias("v"))
+    got = [(r.k, r.v, r.n) for r in shared.numbered(rows, ["k", "v"]).collect()]
+    assert sorted(got, key=lambda r: r[2]) == [(k, v, n) for n, (k, v) in enumerate(sorted((i % 700, i) for i in range(2000)))]
+    assert shared.numbered(rows.limit(0), ["k"]).count() == 0
+    table = shared.cut(rows)
+    assert table.count() == 2000
+    shared.drop(table, rows)
+    import os
+
+    assert not os.path.exists(table.cut_path.removeprefix("file:"))
