@@ -4,8 +4,8 @@ Every line is labelled good or bad from its own features and those of the lines
 weights between neighbours. Training takes each labelled document's quality as the label of its lines; the marginals of the
 forward-backward pass, weighted by line length, average to the document's score in 0..1 (higher: better).
 
-Training uses at most TRAIN_DOCS labelled documents, those of smallest id hash; features are made where the texts are, and
-only these reach the driver. Scoring is one pass over whole texts and passes all columns through.
+Training uses at most TRAIN_DOCS labelled documents, those of smallest id hash, and of each at most TRAIN_LINES lines in a row (from
+a place that its length decides); features are made where the texts are, and only these reach the driver. Scoring has no bound. Scoring is one pass over whole texts and passes all columns through.
 
 Nulls: a null or empty text, or one of empty lines only, scores the share of good documents in training (0.5 without labels).
 Null labels and ids train nothing; several labels of one id count as the smallest. Empty tables: no rows, or scores of 0.5.
@@ -27,6 +27,8 @@ from arcweft.llm.words import Texts, slices
 
 #: Bound of the labelled sample, passes of the optimiser, strength of the prior on weights, and the threshold of `predicted`.
 TRAIN_DOCS, STEPS, PRIOR, THRESHOLD = 2000, 120, 1e-3, 0.7
+#: Bound of the lines of one labelled document.
+TRAIN_LINES = 500
 #: Own features of a line; each also counts for the lines before and after.
 FEATURES = ("symbols", "marks", "bars", "capitals", "digits", "letters", "long_words", "short_words", "echo", "again", "seen_line", "length", "word_length", "ends")
 
@@ -199,11 +201,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for texts in slices(batch.column(1)):
                 x, first, _ = line_features(texts)
                 label = batch.column(0).slice(texts.first, texts.n).to_pylist()
-                lines = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                n = np.diff(first)
+                start = first[:-1] + np.where(n > TRAIN_LINES, n * 7919 % np.maximum(n - TRAIN_LINES, 1), 0)
+                lines = [x[a:b].tobytes() for a, b in zip(start, start + np.minimum(n, TRAIN_LINES), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(lines, pa.binary())], names=["label", "lines"])
 
-    # a fixed order, so that training does not depend on how the tables are laid out
-    found = sorted((bytes(r.lines), r.label) for r in rows.mapInArrow(run, "label int, lines binary").toLocalIterator() if r.lines)
+    # ids may repeat in docs: at most `most` rows again. A fixed order, so that training does not depend on how tables are laid out
+    found = rows.mapInArrow(run, "label int, lines binary").where(F.octet_length("lines") > 0)
+    found = sorted((bytes(r.lines), r.label) for r in found.orderBy(F.xxhash64("lines", "label"), "lines", "label").limit(most).collect())
     x = [np.frombuffer(b, np.float32).reshape(-1, len(FEATURES)) for b, _ in found]
     first = np.cumsum([0, *map(len, x)])
     return fit(np.concatenate(x) if x else np.zeros((0, len(FEATURES)), np.float32), first, np.array([y for _, y in found]))

@@ -1,6 +1,8 @@
 """The line CRF: its marginals against enumeration, held-out accuracy, and edge cases."""
 
 import itertools
+import re
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -53,3 +55,69 @@ def test_slicing_changes_nothing():
     whole = np.concatenate([quality.document_scores(model, s) for s in slices(texts)])
     parts = np.concatenate([quality.document_scores(model, s) for s in slices(texts, 5)])
     np.testing.assert_allclose(whole, parts)
+
+
+def plain_score(model, text):
+    """The score by loops over lines, words and bytes."""
+    gap = bytes([32, *range(9, 14)])
+    rows, sizes, seen = [], [], set()
+    for line in (text or "").encode().split(b"\n"):
+        words = [w for w in re.split(b"[" + re.escape(gap) + b"]+", line) if w]
+        if not words:
+            continue
+        body = line.strip(gap)
+        share = lambda chars: sum(c in chars for c in body) / len(body)  # noqa: B023, E731
+        letters = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
+        n = len(words)
+        rows.append([
+            share(b"#*$%&@^~=<>{}[]\\_"), share(b"!?"), share(b"|\t"), share(bytes(range(65, 91))), share(b"0123456789"), share(letters),
+            sum(len(w) >= 14 for w in words) / n, sum(len(w) <= 3 for w in words) / n, sum(a == b for a, b in zip(words, words[1:])) / n, (n - len(set(words))) / n,
+            float(tuple(words) in seen), np.log1p(n), np.log(len(body) / n), float(body[-1] in b".!?:;\"')"),
+        ])
+        seen.add(tuple(words))
+        sizes.append(len(body))
+    if not rows:
+        return model.prior
+    x = np.clip((np.array(rows, np.float32) - model.mean) / model.scale, -5, 5)
+    none = np.zeros(x.shape[1])
+    e = [float(np.r_[x[i], x[i - 1] if i else none, x[i + 1] if i + 1 < len(x) else none] @ model.weights + model.bias) for i in range(len(x))]
+    good = []
+    for at in range(len(x)):  # both labels of a line, summed over all others, forwards and backwards
+        odds = []
+        for mine in (0, 1):
+            total = 0.0
+            for order, turns in ((range(at), model.turns), (range(len(x) - 1, at, -1), model.turns.T)):
+                state = None
+                for i in order:
+                    now = np.array([0.0, e[i]])
+                    state = now if state is None else now + np.logaddexp(state[0] + turns[0], state[1] + turns[1])
+                if state is not None:
+                    total += np.logaddexp(state[0] + turns[0, mine], state[1] + turns[1, mine])
+            odds.append(total + (e[at] if mine else 0.0))
+        good.append(1 / (1 + np.exp(odds[0] - odds[1])))
+    return float(np.dot(good, sizes) / sum(sizes))
+
+
+def test_query_against_plain_loops(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in quality.op3_quality_classifier(docs, labels).collect()}
+    assert set(got) == set(texts)
+    for i in sorted(texts)[:250]:
+        want = plain_score(model, texts[i])
+        assert abs(got[i].score - want) < 1e-4, i
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and (got[i].predicted == int(want >= 0.7) or abs(want - 0.7) < 1e-4)
+
+
+def test_training_is_bounded(spark, monkeypatch):
+    """Long documents and ids that repeat do not swell what reaches the driver."""
+    monkeypatch.setattr(quality, "TRAIN_LINES", 20)
+    docs = spark.createDataFrame([(i % 5, "\n".join(f"line {i} {j}" for j in range(1000))) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    held = []
+    monkeypatch.setattr(quality, "fit", lambda x, first, y: held.append((x.shape, first, y)))
+    quality.train(docs, labels, most=3)
+    (shape, first, y), = held
+    assert len(y) <= 3 and shape[0] == 20 * len(y) and np.diff(first).max() == 20
