@@ -2,8 +2,13 @@
 
 quality: documents that the line classifier rejects go. near_dedup: of each group of near-copies the smallest id stays.
 decontaminate: documents that leak a benchmark item go. pii: personal data becomes pseudonyms. encode: texts become ids.
-Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Filters return rows as they are; rows with a
-null doc_id are kept by the near-duplicate stage, which cannot group them.
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Filters return rows as they are, with all
+columns, whatever their names.
+
+Null or empty texts: the classifier gives them the share of good documents, near-duplicates link them with nothing, no item leaks,
+they encode to null or to no ids. Rows with a null doc_id are kept by the near-duplicate stage, which cannot group them. Repeated
+rows of one id stay or go together. Texts of any length are read whole. Empty documents: every stage returns no rows; without
+labels every text scores 0.5 and none is kept; without benchmark items nothing leaks.
 """
 
 from __future__ import annotations
@@ -18,8 +23,10 @@ from arcweft.shared import cut
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    kept = quality.scored(docs, model, score_col="_quality").where(quality.predicted("_quality") == 1)
-    return kept.drop("_quality")
+    score = "_quality"
+    while score in docs.columns:
+        score += "_"
+    return quality.scored(docs, model, score_col=score).where(quality.predicted(score) == 1).drop(score)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
