@@ -35,6 +35,8 @@ from arcweft.llm.words import Texts, byte_hashes, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Most bytes of a model that is sent to tasks; most characters of a word in the lattice (a mask has 64 bits).
 MODEL_BYTES, WIDE = 64 << 20, 62
+#: Bytes of text that are encoded at a time: a lattice takes some 130 times its words' bytes.
+SLICE = 1 << 19
 SPACE = "▁"
 
 
@@ -255,19 +257,20 @@ def model_bytes(path: str) -> bytes:
     return raw
 
 
-def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model_path: str = MODEL, check_col: str | None = None) -> DataFrame:
-    """All columns of df and the ids (array<int>) of the text; in check_col whether decoding them gives the text back, found
+def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model_path: str = MODEL, check_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """All columns of df (or those to keep) and the ids (array<int>) of the text; in check_col whether decoding them gives the text back, found
     in the same pass (a second one would need a second Python worker per task)."""
     raw = model_bytes(model_path)
     df = df.drop(ids_col, *([check_col] if check_col else []))
     at = df.columns.index(text_col)
-    schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(check_col, T.BooleanType())] if check_col else [])])
+    kept = [i for i, c in enumerate(df.columns) if keep is None or c in keep]
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(check_col, T.BooleanType())] if check_col else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(raw)
         for batch in batches:
             null = batch.column(at).is_null()
-            for texts in slices(batch.column(at)):
+            for texts in slices(batch.column(at), SLICE):
                 ids, bounds = encode_texts(model, texts)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 mask = null.slice(texts.first, texts.n)
@@ -275,7 +278,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model_pa
                     lists = pa.compute.if_else(mask, pa.scalar(None, lists.type), lists)
                 part = batch.slice(texts.first, texts.n)
                 more = [pa.array(equal_texts(texts, *decode_ids(model, ids, bounds)))] if check_col else []
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, *more], names=[*part.schema.names, ids_col, *([check_col] if check_col else [])])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), lists, *more], names=[*(part.schema.names[i] for i in kept), ids_col, *([check_col] if check_col else [])])
 
     return df.mapInArrow(run, schema)
 
@@ -310,5 +313,5 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", model
 
 def op6_sentencepiece(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_xxhash64, decoded_equal: of each text the number and a hash of its ids, and the round trip."""
-    out = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), check_col="decoded_equal")
+    out = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), check_col="decoded_equal", keep=["doc_id"])
     return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), "decoded_equal")
