@@ -53,7 +53,7 @@ BLOCK_BYTES = 16 << 20
 #: Bits of the bitmap of word pairs.
 PAIR_BITS = 22
 #: Bytes of text, candidates (and words of spans of windows) and cells of the bands of windows worked on at a time.
-SLICE, SPAN, CELLS = 1 << 20, 1 << 19, 1 << 18
+SLICE, SPAN, CELLS = 1 << 19, 1 << 18, 1 << 18
 
 #: All ASCII characters other than letters and digits part words.
 _GAPS = np.zeros(256, bool)
