@@ -48,7 +48,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding gives the text back."""
     table(spark, sf_dir, "documents")
-    out = pieces.encode(docs.select("doc_id", "text"), check_col="decoded_equal")
+    out = pieces.encode(docs.select("doc_id", "text"), check_col="decoded_equal", keep=["doc_id"])
     return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "decoded_equal")
 
 
