@@ -70,6 +70,20 @@ def test_stages(spark, tables):
     assert corpus_pipeline.run(spark, d).count() == len(new)
 
 
+def test_clashing_names_and_repeated_rows(spark, tables):
+    d, bench = tables
+    text = "Plain words of a quiet line, written well.\nAnd one more line of the same kind."
+    rows = [(1, text, "a", 7.0, True), (1, text, "a", 7.0, True), (2, None, "b", None, None), (None, text, "c", 1.0, False), (3, f"So {bench[0]} it is.", "d", 0.0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _quality double, kept boolean")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns
+        assert sum(r.doc_id == 1 for r in out.collect()) == 2 and any(r.doc_id is None for r in out.collect())
+        assert any(r.doc_id == 3 for r in out.collect()) == (name != "decontaminate")
+    kept = corpus_pipeline.quality_stage(spark, docs, d)
+    assert kept.columns == docs.columns and {r._quality for r in kept.collect()} <= {7.0, None, 1.0, 0.0}
+
+
 def test_empty_documents(spark, tables, tmp_path):
     d, _ = tables
     docs = spark.read.parquet(f"{d}/documents.parquet").limit(0)
