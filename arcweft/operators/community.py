@@ -43,12 +43,12 @@ def modularity(arcs: DataFrame, labels: DataFrame, resolution: float = 1.0) -> f
     return 0.0 if total == 0 else row[1] / total - resolution * row[2] / total**2
 
 
-def _move(arcs: DataFrame, config: CommunityConfig, level: int) -> DataFrame:
-    """id, label after rounds of moves: each vertex of the round's half goes to the neighbouring label of largest gain."""
+def _move(arcs: DataFrame, config: CommunityConfig, level: int, start: DataFrame | None = None) -> DataFrame:
+    """id, label after rounds of moves, from single vertices or the start's labels: each vertex of the round's half goes to the neighbouring label of largest gain."""
     resolution = config.resolution * config.gamma
     strength = cut(arcs.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "strength")
     total = strength.agg(F.sum("k")).first()[0] or 0.0
-    labels = cut(strength.select("id", F.col("id").alias("label")), "labels")
+    labels = cut(strength.select("id", F.col("id").alias("label")) if start is None else start, "labels")
     if total == 0:
         return labels
     best, best_score = labels, modularity(arcs, labels, resolution)
@@ -82,6 +82,12 @@ def _inside(arcs: DataFrame, labels: DataFrame) -> DataFrame:
     return arcs.join(one, "src").join(two, "dst").filter("l_src = l_dst").select("src", "dst", "w")
 
 
+def _connected(arcs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each connected part of a community as one of its own, named by its smallest vertex."""
+    parts = components(_inside(arcs, labels).filter("src < dst"), "src", "dst")
+    return cut(labels.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("label")), "connected")
+
+
 def _refined(arcs: DataFrame, labels: DataFrame, config: CommunityConfig, level: int) -> DataFrame:
     """Each community anew from single vertices, which join the part of their community of largest positive gain (not deterministic:
     with a chance that grows with the gain); then connected parts, named by their smallest vertex. What a refinement leaves apart
@@ -109,8 +115,7 @@ def _refined(arcs: DataFrame, labels: DataFrame, config: CommunityConfig, level:
                 break
             continue
         parts = cut(parts.join(moved, "id", "left").select("id", F.coalesce("new", "label").alias("label")), "parts")
-    connected = components(_inside(inside, parts).filter("src < dst"), "src", "dst")
-    return cut(labels.join(connected, "id", "left").select("id", F.coalesce("component", "id").alias("label")), "refined")
+    return _connected(inside, parts)
 
 
 def _merged(arcs: DataFrame, labels: DataFrame, least: int) -> DataFrame:
@@ -135,11 +140,19 @@ def communities(g: PropertyGraph, config: CommunityConfig = CommunityConfig(), i
     arcs = cut(_symmetric(g), "arcs")
     level_arcs = arcs
     labels: DataFrame | None = None
+    start: DataFrame | None = None
     for level in range(config.iterations):
-        found = _refined(level_arcs, _move(level_arcs, config, level), config, level)
+        # the parts of the refinement become the next level's vertices and begin in the communities that were found; at the last
+        # level, or where the refinement joins nothing, the communities stand, each connected
+        moved = _move(level_arcs, config, level, start)
+        last = level == config.iterations - 1
+        found = _connected(level_arcs, moved) if last else _refined(level_arcs, moved, config, level)
+        if not last and found.filter("id <> label").isEmpty():
+            last, found = True, _connected(level_arcs, moved)
         labels = found if labels is None else cut(labels.join(found.select(F.col("id").alias("label"), F.col("label").alias("up")), "label").select("id", F.col("up").alias("label")), "labels")
-        if found.filter("id <> label").isEmpty():
+        if last:
             break
+        start = cut(found.join(moved.select("id", F.col("label").alias("of")), "id").groupBy(F.col("label").alias("id")).agg(F.min("of").alias("label")), "start")
         one, two = (found.select(F.col("id").alias(c), F.col("label").alias(f"l_{c}")) for c in ("src", "dst"))
         level_arcs = cut(level_arcs.join(one, "src").join(two, "dst").groupBy(F.col("l_src").alias("src"), F.col("l_dst").alias("dst")).agg(F.sum("w").alias("w")), "arcs")
     labels = g.vertices.limit(0).select("id", F.col("id").alias("label")) if labels is None else labels
