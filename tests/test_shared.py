@@ -1,7 +1,9 @@
 """Hot-key lookups, bitmap semi-joins and components against plain Python."""
 
+import glob
 import random
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from arcweft import shared
@@ -21,6 +23,15 @@ def test_lookup_with_a_hot_key(spark, monkeypatch):
     assert all(r.v == want.get(r.k) for r in got)
 
 
+def test_row_groups_of_long_rows_are_bounded(spark):
+    """120 KB a row, 48 MB in one task: neither its writer nor a reader holds them all."""
+    table = shared.cut(spark.range(0, 400, 1, 1).select("id", F.transform(F.sequence(F.lit(1), F.lit(15000)), lambda x: F.xxhash64("id", x)).alias("x")))
+    (path,) = glob.glob(f"{table.cut_path.removeprefix('file:')}/*.parquet")
+    groups = pq.ParquetFile(path).metadata
+    assert max(groups.row_group(i).total_byte_size for i in range(groups.num_row_groups)) < 2 * shared.GROUP["parquet.block.size"]
+    assert table.select(F.count("*"), F.sum("id"), F.sum(F.size("x"))).first() == (400, 79800, 6000000)
+
+
 def test_narrowed_keeps_all_ids(spark):
     rows = spark.range(20000).withColumnRenamed("id", "doc_id")
     ids = spark.range(0, 20000, 97).withColumnRenamed("id", "doc_id")
