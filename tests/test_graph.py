@@ -213,3 +213,18 @@ def test_batches_change_nothing(spark):
     for measure in (centrality.closeness, centrality.betweenness):
         one, three = ({r[0]: round(r[1], 9) for r in measure(g, weighted=True, batches=b).collect()} for b in (1, 3))
         assert one == three
+
+
+def test_predecessors_over_arcs_of_weight_zero(spark):
+    """The smallest of equal predecessors counts, also where its arc weighs nothing and its id is the larger one."""
+    g = graph(spark, 6, [(0, 5, 3), (5, 2, 0), (2, 3, 1), (0, 4, 4), (4, 3, 0)], directed=True)
+    got = {r.id: (r.dist, r.pred) for r in search.dijkstra(g, 0).collect()}
+    assert got == {0: (0.0, None), 5: (3.0, 0), 2: (3.0, 5), 4: (4.0, 0), 3: (4.0, 2)}
+    assert search.dijkstra_path(g, 0, 2) == [0, 5, 2]
+
+
+def test_paths_past_a_circle_of_weight_zero(spark):
+    """1 and 2 are each other's smallest predecessors; the path still begins at the start."""
+    g = graph(spark, 6, [(0, 3, 1), (3, 2, 0), (2, 1, 0), (1, 2, 0), (2, 4, 5)], directed=True)
+    assert {r.id: r.pred for r in search.dijkstra(g, 0).collect()} == {0: None, 3: 0, 2: 1, 1: 2, 4: 2}
+    assert search.dijkstra_path(g, 0, 4) == [0, 3, 2, 4] and search.dijkstra_path(g, 0, 1) == [0, 3, 2, 1] and search.dijkstra_path(g, 0, 5) is None
