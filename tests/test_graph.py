@@ -228,3 +228,15 @@ def test_paths_past_a_circle_of_weight_zero(spark):
     g = graph(spark, 6, [(0, 3, 1), (3, 2, 0), (2, 1, 0), (1, 2, 0), (2, 4, 5)], directed=True)
     assert {r.id: r.pred for r in search.dijkstra(g, 0).collect()} == {0: None, 3: 0, 2: 1, 1: 2, 4: 2}
     assert search.dijkstra_path(g, 0, 4) == [0, 3, 2, 4] and search.dijkstra_path(g, 0, 1) == [0, 3, 2, 1] and search.dijkstra_path(g, 0, 5) is None
+
+
+def test_betweenness_over_arcs_of_weight_zero(spark):
+    """0 to 3 by 1, by 2 or by 4, all of length 2."""
+    edges = [(0, 1, 2, "a"), (1, 3, 0, "a"), (0, 2, 0, "a"), (2, 3, 2, "a"), (0, 4, 1, "b"), (4, 3, 1, "b")]
+    g = graph(spark, 5, edges, directed=True)
+    score = lambda **more: {r.id: round(r.betweenness * 12, 9) for r in centrality.betweenness(g, weighted=True, multiplicity=False, **more).collect()}
+    third = round(1 / 3, 9)
+    assert score() == {0: 0.0, 1: third, 2: third, 3: 0.0, 4: third}
+    for bad in ([(0, 1, 0), (1, 2, 0), (2, 0, 0)], [(0, 1, -1)]):
+        with pytest.raises(GraphError):
+            centrality.betweenness(graph(spark, 3, bad, directed=True), weighted=True)
