@@ -231,12 +231,13 @@ def test_paths_past_a_circle_of_weight_zero(spark):
 
 
 def test_betweenness_over_arcs_of_weight_zero(spark):
-    """0 to 3 by 1, by 2 or by 4, all of length 2."""
+    """0 to 3 by 1 or by 2, both of length 2; by 4 in addition where types allow all."""
     edges = [(0, 1, 2, "a"), (1, 3, 0, "a"), (0, 2, 0, "a"), (2, 3, 2, "a"), (0, 4, 1, "b"), (4, 3, 1, "b")]
     g = graph(spark, 5, edges, directed=True)
     score = lambda **more: {r.id: round(r.betweenness * 12, 9) for r in centrality.betweenness(g, weighted=True, multiplicity=False, **more).collect()}
     third = round(1 / 3, 9)
     assert score() == {0: 0.0, 1: third, 2: third, 3: 0.0, 4: third}
+    assert score(types=["a"]) == {0: 0.0, 1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0}  # 0.5 of four vertices, times 12 / 6
     for bad in ([(0, 1, 0), (1, 2, 0), (2, 0, 0)], [(0, 1, -1)]):
         with pytest.raises(GraphError):
             centrality.betweenness(graph(spark, 3, bad, directed=True), weighted=True)
