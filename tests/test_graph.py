@@ -1,5 +1,6 @@
 """Small graphs, edge cases and random graphs against plain Python."""
 
+import os
 import random
 
 import pytest
@@ -7,7 +8,8 @@ from graphs import graph, viking
 from pyspark.sql import functions as F
 
 from arcweft.model import GraphError, PropertyGraph
-from arcweft.operators import build, centrality, community, components, dominating, search
+from arcweft.operators import brandes, build, centrality, community, components, dominating, search
+from arcweft.shared import shared_dir
 from arcweft.sources import graph_csv
 
 
@@ -241,3 +243,30 @@ def test_betweenness_over_arcs_of_weight_zero(spark):
     for bad in ([(0, 1, 0), (1, 2, 0), (2, 0, 0)], [(0, 1, -1)]):
         with pytest.raises(GraphError):
             centrality.betweenness(graph(spark, 3, bad, directed=True), weighted=True)
+
+
+def test_betweenness_of_a_long_path(spark):
+    """Depth makes no tables: 100 vertices in a row, of which vertex i is on i * (99 - i) paths."""
+    n, at = 100, f"{shared_dir(spark)}/arcweft".removeprefix("file:")
+    g = graph(spark, n, [(i, i + 1, i % 5 + 1, "a") for i in range(n - 1)] + [(5, 9, 1, "b")], directed=True)
+    before = len(os.listdir(at)) if os.path.isdir(at) else 0
+    got = {r.id: round(r.betweenness * 99 * 98, 6) for r in centrality.betweenness(g, weighted=True, multiplicity=False, types=["a"]).collect()}
+    assert got == {i: i * (99 - i) for i in range(n)}
+    assert len(os.listdir(at)) - before < 20
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_betweenness_in_arrays_and_tables(spark, monkeypatch, directed):
+    """Blocks of any number and size give what tables give: ties, arcs of weight zero, parallel ones, whole and broken weights."""
+    rng = random.Random(7)
+    some = [(a, b, rng.randrange(0 if directed and a < b else 1, 3)) for a, b in ((rng.randrange(7), rng.randrange(7)) for _ in range(18))]
+    g = graph(spark, 8, some, directed)
+    whole = PropertyGraph(g.vertices, g.edges.withColumn("weight", F.col("weight").cast("long")), directed)
+    halves = PropertyGraph(g.vertices, g.edges.withColumn("weight", F.col("weight") / 2), directed)
+    scores = lambda g, **more: {r.id: round(r.betweenness, 9) for r in centrality.betweenness(g, weighted=True, **more).collect()}
+    got = scores(whole)
+    assert scores(halves, batches=3) == got and sum(x > 0 for x in got.values()) > 2
+    monkeypatch.setattr(brandes, "CELLS", 40)
+    assert scores(whole) == got
+    monkeypatch.setattr(centrality, "ARCS", 0)
+    assert scores(whole) == got
