@@ -1,5 +1,6 @@
 """Small graphs, edge cases and random graphs against plain Python."""
 
+import heapq
 import os
 import random
 
@@ -270,3 +271,58 @@ def test_betweenness_in_arrays_and_tables(spark, monkeypatch, directed):
     assert scores(whole) == got
     monkeypatch.setattr(centrality, "ARCS", 0)
     assert scores(whole) == got
+
+
+def in_copies(rng, users: int, copies: int, events: int) -> list[tuple]:
+    """Arcs of a walk over users of which each step stands in so many copies side by side, as in a table repeated with shifted keys."""
+    walk = [(k * users + u, c) for u, c in ((rng.randrange(users), rng.randrange(4)) for _ in range(events)) for k in range(copies)]
+    return [(a, b, c) for (a, c), (b, _) in zip(walk, walk[1:], strict=False)]
+
+
+def plain_betweenness(n: int, arcs: list[tuple], weighted: bool) -> dict[int, float]:
+    """Vertex by vertex; weighted: parallel arcs count once."""
+    w, m = {}, {}
+    for a, b, c in arcs:
+        if a != b:
+            w[a, b], m[a, b] = min(w.get((a, b), c), c) if weighted else 1, 1 if weighted else m.get((a, b), 0) + 1
+    out, score = {}, dict.fromkeys(range(n), 0.0)
+    for a, b in w:
+        out.setdefault(a, []).append(b)
+    for s in range(n):
+        dist, seen, todo, ways, back = {s: 0}, [], [(0, s)], {s: 1}, {}
+        while todo:
+            d, a = heapq.heappop(todo)
+            if a in seen:
+                continue
+            seen.append(a)
+            for b in out.get(a, []):
+                new = d + w[a, b]
+                if new < dist.get(b, new + 1):
+                    dist[b], ways[b], back[b] = new, 0, []
+                    heapq.heappush(todo, (new, b))
+                if new == dist[b]:
+                    ways[b] += ways[a] * m[a, b]
+                    back[b].append(a)
+        beyond = dict.fromkeys(seen, 0.0)
+        for b in reversed(seen[1:]):
+            for a in back[b]:
+                beyond[a] += ways[a] * m[a, b] / ways[b] * (1 + beyond[b])
+            if b in score:
+                score[b] += beyond[b]
+    return {v: round(x / (n - 1) / (n - 2), 9) for v, x in score.items()}
+
+
+def test_betweenness_over_chains(spark, monkeypatch):
+    """Ways of vertices with one arc in and out are one arc: few arcs meet the arrays, and scores are those of a plain search. Ways
+    round back into a chain, chains without a way in or out, a circle apart, and a vertex that is none."""
+    rng, met = random.Random(5), []
+    shares = brandes.shares
+    monkeypatch.setattr(brandes, "shares", lambda arcs, *more: met.append(arcs.count()) or shares(arcs, *more))
+    some = in_copies(rng, 4, 5, 14) + [(30, 31, 1), (31, 32, 2), (32, 0, 1), (3, 33, 1), (33, 34, 0), (34, 35, 1), (36, 37, 1), (37, 38, 1), (38, 36, 1), (40, 41, 2), (41, 42, 2)]
+    some = [(a, b, c + 1) for a, b, c in some]
+    g = graph(spark, 42, some, directed=True)
+    g = PropertyGraph(g.vertices, g.edges.withColumn("weight", F.col("weight").cast("long")), True)
+    for more in ({"weighted": True, "multiplicity": False}, {"batches": 3}):
+        got = {r.id: round(r.betweenness, 9) for r in centrality.betweenness(g, **more).collect()}
+        assert got == plain_betweenness(42, some, "weighted" in more) and sum(x > 0 for x in got.values()) > 20
+    assert max(met) * 3 < len({(a, b) for a, b, _ in some if a != b}) * 2
